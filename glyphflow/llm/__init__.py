@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["runs", "pairs"]
+MODULES = ["runs", "pairs", "spans"]
 
 
 def registry() -> tuple[dict, dict]:
