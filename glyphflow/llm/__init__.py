@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["runs", "pairs", "spans"]
+MODULES = ["runs", "pairs", "spans", "lookalikes", "mixing"]
 
 
 def registry() -> tuple[dict, dict]:
