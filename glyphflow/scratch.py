@@ -45,3 +45,9 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """At least ``per_core`` tasks per core, for work in Python over few input splits."""
+    want = per_core * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
