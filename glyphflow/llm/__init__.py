@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["runs", "pairs", "spans", "lookalikes", "mixing"]
+MODULES = ["runs", "pairs", "spans", "lookalikes", "mixing", "leaks"]
 
 
 def registry() -> tuple[dict, dict]:

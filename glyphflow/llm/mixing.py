@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..scratch import written
+from ..scratch import spread, written
 from ..tables import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that splits text before byte pairs merge; fixed by the public vocabulary.
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bins of a size and source by hash; sizes are binned by octave and eighth.
 HASH_BINS = 64
 
@@ -106,7 +106,7 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: i
     """
     tidy = lambda c: F.lower(F.regexp_replace(F.col(c), r"^\s+|\s+$", ""))
     named = docs.select("doc_id", F.nullif(tidy("source"), F.lit("")).alias("source"), "text").filter("doc_id is not null")
-    counted = with_tokens(_spread(named), "text", ["doc_id", "source"], vocabulary)
+    counted = with_tokens(spread(named), "text", ["doc_id", "source"], vocabulary)
     sized = written(counted.groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("r")).select("doc_id", "r.*"), "sized")
     goals = targets.select(tidy("source").alias("source"), "target_share", "max_repeats").filter("source is not null")
     goals = goals.groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("r")).select("source", "r.*")
@@ -133,12 +133,6 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: i
     return drawn, shares.withColumn("reached_share", F.round(F.when(all_used > 0, F.col("used_tokens") / all_used), 6))
 
 
-def _spread(docs: DataFrame) -> DataFrame:
-    """At least two tasks per core, for work in Python."""
-    want = 2 * docs.sparkSession.sparkContext.defaultParallelism
-    return docs if docs.rdd.getNumPartitions() >= want else docs.repartition(want)
-
-
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix itself: a row per document and copy."""
     drawn, _ = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
