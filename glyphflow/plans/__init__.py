@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["operators.tree"]
+MODULES = ["operators.tree", "operators.orphans"]
 
 
 def registry() -> tuple[dict, dict]:
