@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["runs", "pairs", "spans", "lookalikes", "mixing", "leaks"]
+MODULES = ["runs", "pairs", "spans", "lookalikes", "mixing", "leaks", "abuse"]
 
 
 def registry() -> tuple[dict, dict]:
