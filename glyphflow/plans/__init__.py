@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["operators.tree", "operators.orphans"]
+MODULES = [f"operators.{m}" for m in ("tree", "orphans", "ngrams", "positional", "cooc")]
 
 
 def registry() -> tuple[dict, dict]:
