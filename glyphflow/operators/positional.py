@@ -7,16 +7,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import euclidean, kl_divergence
-from ..sequences import TOKENS_SQL, all_tokens, lengths, r6, syllables
+from ..sequences import TOKENS_SQL, all_tokens, lengths, neighbours, r6, syllables
 from ..skew import skew_join
 from ..tables import table
 
 
 def placed(tokens: DataFrame) -> DataFrame:
-    """Adds ``len`` and the flags ``initial``, ``medial``, ``final``; a token alone is both initial and final."""
-    rows = skew_join(tokens, lengths(tokens), ["seq_id"], "inner")
-    at, last = F.col("pos"), F.col("len") - 1
-    return rows.withColumns({"initial": at == 0, "final": at == last, "medial": (at > 0) & (at < last)})
+    """Adds the flags ``initial``, ``medial``, ``final``; a token alone is both initial and final."""
+    rows = neighbours(tokens, 0, 1, ["pos"])
+    first, last = F.col("pos") == 0, F.col("pos_p1").isNull()
+    return rows.withColumns({"initial": first, "final": last, "medial": ~first & ~last})
 
 
 def profiles(tokens: DataFrame) -> DataFrame:
@@ -30,14 +30,14 @@ def fractions(tokens: DataFrame, denominator: str = "total") -> DataFrame:
     """Profile fractions over places (``total``) or tokens (``occurrences``), with their entropy and a label."""
     p = profiles(tokens)
     f = {k: F.col(f"n_{k}") / F.col(denominator) for k in ("initial", "medial", "final")}
-    h = -sum((F.when(x > 0, x * F.log2(x)).otherwise(0.0) for x in f.values()), F.lit(0.0))
+    h = F.lit(0.0) - sum((F.when(x > 0, x * F.log2(x)).otherwise(0.0) for x in f.values()), F.lit(0.0))
     label = F.when(f["initial"] > 0.5, "initial").when(f["final"] > 0.5, "final").when(f["medial"] > 0.5, "medial").otherwise("flexible")
     return p.select("symbol", "n_initial", "n_medial", "n_final", F.col(denominator).alias("total"), *(r6(x).alias(k) for k, x in f.items()), r6(h).alias("entropy"), label.alias("bias"))
 
 
 def relative_bins(tokens: DataFrame, bins: int = 10) -> DataFrame:
     """Per symbol the entropy of its relative position in ``bins`` bins; tokens alone in their sequence stand at 0."""
-    rows = placed(tokens)
+    rows = skew_join(tokens, lengths(tokens), ["seq_id"], "inner")
     rel = F.when(F.col("len") > 1, F.col("pos") / (F.col("len") - 1)).otherwise(0.0)
     b = F.least(F.floor(rel * bins), F.lit(bins - 1))
     c = rows.groupBy("symbol", b.alias("bin")).agg(F.count("*").alias("n"))
@@ -144,7 +144,7 @@ pf AS (SELECT *, n_initial + n_medial + n_final AS total FROM pr)"""
 def _frac(den: str) -> str:
     h = " + ".join(f"CASE WHEN n_{k} > 0 THEN n_{k} / {den} * log2(n_{k} / {den}) ELSE 0 END" for k in ("initial", "medial", "final"))
     return f""", fr AS (SELECT symbol, n_initial, n_medial, n_final, {den} AS total, round(n_initial / {den}, 6) AS initial, round(n_medial / {den}, 6) AS medial, round(n_final / {den}, 6) AS final,
-  round(-({h}), 6) AS entropy, CASE WHEN n_initial / {den} > 0.5 THEN 'initial' WHEN n_final / {den} > 0.5 THEN 'final' WHEN n_medial / {den} > 0.5 THEN 'medial' ELSE 'flexible' END AS bias FROM pf)"""
+  round(0.0 - ({h}), 6) AS entropy, CASE WHEN n_initial / {den} > 0.5 THEN 'initial' WHEN n_final / {den} > 0.5 THEN 'final' WHEN n_medial / {den} > 0.5 THEN 'medial' ELSE 'flexible' END AS bias FROM pf)"""
 
 
 _KL_SUM = lambda a: "(" + " + ".join(f"({a}{k} + 1e-10)" for k in ("initial", "medial", "final")) + ")"
