@@ -11,8 +11,10 @@ HEAVY_ROWS, HEAVY_SHARE = 50_000, 1 / 500
 
 def heavy_keys(df: DataFrame, keys: list[str], rows: int = HEAVY_ROWS, share: float = HEAVY_SHARE) -> list:
     """The heavy keys, at most ``1 / share`` of them: the count is combined map-side."""
-    counts = df.groupBy(*keys).count()
     total = df.count()
+    if total < rows:
+        return []
+    counts = df.groupBy(*keys).count()
     return counts.filter(F.col("count") >= max(rows, int(total * share))).select(*keys).collect()
 
 
