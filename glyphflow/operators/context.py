@@ -82,8 +82,11 @@ def enrichment(counts: DataFrame, least: int = 3) -> DataFrame:
     total = counts.agg(F.sum("n").alias("t"))
     rows = counts.join(by_c, "cls").join(by_s, "symbol").crossJoin(F.broadcast(total))
     tests = rows.agg(F.count("*").alias("tests"))
-    tail = rows.withColumn("k", F.explode(F.sequence(F.col("n"), F.least("nc", "ns"))))
-    p = tail.groupBy("cls", "symbol", "n", "nc", "ns", "t").agg(F.sum(hypergeom_pmf(F.col("k"), F.col("t"), F.col("ns"), F.col("nc"))).alias("p"))
+    # the first term by factorials, each further one by its ratio to the one before
+    ratio = lambda k: (F.col("ns") - k) * (F.col("nc") - k) / F.greatest((k + 1) * (F.col("t") - F.col("ns") - F.col("nc") + k + 1), F.lit(1))
+    start = F.struct(hypergeom_pmf(F.col("n"), F.col("t"), F.col("ns"), F.col("nc")).alias("term"), F.lit(0.0).alias("sum"))
+    tail = F.aggregate(F.sequence(F.col("n"), F.least("nc", "ns")), start, lambda x, k: F.struct((x["term"] * ratio(k)).alias("term"), (x["sum"] + x["term"]).alias("sum")))["sum"]
+    p = rows.select("cls", "symbol", "n", "nc", "ns", "t", tail.alias("p"))
     fold = F.col("n") * F.col("t") / (F.col("nc") * F.col("ns"))
     level = F.lit(0.05) / F.col("tests")
     return p.crossJoin(F.broadcast(tests)).select("cls", "symbol", "n", F.round(F.least("p", F.lit(1.0)), 5).alias("p_value"), r6(fold).alias("fold"), (F.col("p") < level).alias("family_wise"))

@@ -47,8 +47,11 @@ def window_levenshtein(tokens: DataFrame, patterns: DataFrame, most: int = 1) ->
     sizes = sorted({n for r in patterns.select(F.size(F.split("pattern", "-")).alias("n")).distinct().collect() for n in (r.n - 1, r.n, r.n + 1) if n > 0})
     sets = [grams(tokens, n, "translit").select("seq_id", "pos", F.lit(n).alias("size"), F.concat_ws("-", "gram").alias("word")) for n in sizes]
     windows = reduce(DataFrame.unionByName, sets)
-    near = windows.join(F.broadcast(patterns.withColumn("m", F.size(F.split("pattern", "-")))), F.abs(F.col("size") - F.col("m")) <= 1)
-    return near.withColumn("distance", token_levenshtein("word", "pattern")).filter(F.col("distance") <= most).select("seq_id", "pos", "word", "pattern", "distance")
+    # distances are measured once per distinct window, then handed to its places
+    words = windows.select("word", "size").distinct()
+    pairs = words.join(F.broadcast(patterns.withColumn("m", F.size(F.split("pattern", "-")))), F.abs(F.col("size") - F.col("m")) <= 1)
+    near = pairs.withColumn("distance", token_levenshtein("word", "pattern")).filter(F.col("distance") <= most).select("word", "pattern", "distance")
+    return windows.join(near, "word").select("seq_id", "pos", "word", "pattern", "distance")
 
 
 def best_per_group(matches: DataFrame, group: str) -> DataFrame:
