@@ -100,6 +100,40 @@ def rank_score(verdict_: Column) -> Column:
     return F.when(verdict_ == "SUPPORTED", 2.0).when(verdict_ == "POSSIBLE", 1.0).when(verdict_ == "WEAK", 0.5).otherwise(0.0)
 
 
+def reverse_lookup(values: DataFrame) -> DataFrame:
+    """``value, ids, n``: all symbols with a value (``values(symbol, value)``; the dictionary, not the corpus)."""
+    rows = values.filter("symbol is not null and value is not null").distinct()
+    return rows.groupBy("value").agg(F.array_join(F.array_sort(F.collect_set("symbol")), " ").alias("ids"), F.count("*").alias("n"))
+
+
+def anchor_score(length: Column, distance: Column, texts: Column, sites: Column, certain: Column, initial: Column, known: Column) -> Column:
+    """Seven additive factors of a place-name anchor, 0..100."""
+    yes = lambda c, n: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0)
+    return clamp(F.least(10 * length, F.lit(40)) - 15 * distance + F.least(5 * texts, F.lit(20)) + F.least(5 * sites, F.lit(15)) + yes(certain, 10) + yes(initial, 5) + yes(known, 10), 0, 100)
+
+
+def plausibility(meaning: Column, context: Column) -> Column:
+    """Share of a match's context words that belong to its meaning's field; half where either is unknown."""
+    both = F.try_divide(F.size(F.array_intersect(meaning, context)), F.size(context))
+    return F.coalesce(both.cast("double"), F.lit(0.5))
+
+
+def feature_table(stats: DataFrame, rules: dict[str, list[tuple[str, str]]], default: str = "unknown") -> DataFrame:
+    """``feature, value``: for each feature the first of its (condition, value) rules that a row of statistics meets."""
+    out = []
+    for feature, cases in rules.items():
+        v = F.coalesce(*(F.when(F.expr(c), F.lit(x)) for c, x in cases), F.lit(default))
+        out.append(F.struct(F.lit(feature).alias("feature"), v.alias("value")))
+    return stats.select(F.explode(F.array(*out)).alias("f")).select("f.*")
+
+
+def _features(s, d):
+    from ..sequences import syllables
+    from .ngrams import lexical_stats
+
+    return feature_table(lexical_stats(syllables(s, d)), {"inventory": [("types < 40", "small"), ("types < 90", "syllabary"), ("true", "large")], "texts": [("mean_len < 5", "short"), ("mean_len >= 5", "long")], "concentration": [("top1_share > 0.2", "high"), ("top1_share > 0.05", "middle")]})
+
+
 def _customers(s, d):
     n = table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"), F.avg("o_totalprice").alias("mean_price"), F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("done"))
     return evidence_table(table(s, d, "customer"), "c_custkey", [n])
@@ -141,6 +175,9 @@ def _conflicts(s, d):
 
 
 QUERIES = {
+    "reverse_lookup": lambda s, d: reverse_lookup(table(s, d, "sign_list").select(F.col("bennett_id").alias("symbol"), F.col("sign_type").alias("value"))),
+    "typology_features": _features,
+    "anchor_scores": lambda s, d: _customers(s, d).select("c_custkey", F.round(anchor_score(F.length("c_mktsegment"), F.lit(1), F.coalesce("n_orders", F.lit(0)), F.lit(1), F.col("c_acctbal") > 0, F.col("c_nationkey") == 1, F.col("done") > 0.5), 3).alias("score")),
     "weighted_evidence": _transfer,
     "decision_rules": _decisions,
     "triangulation": _triangulation,
@@ -158,6 +195,9 @@ _SIG = {
 }
 _DBL = lambda x: f"CAST({x} AS DOUBLE)"
 SQL = {
+    "reverse_lookup": "SELECT sign_type AS value, string_agg(DISTINCT bennett_id, ' ' ORDER BY bennett_id) AS ids, count(DISTINCT bennett_id) AS n FROM sign_list WHERE sign_type IS NOT NULL GROUP BY 1",
+    "anchor_scores": _CU
+    + "SELECT c_custkey, CAST(round(least(greatest(least(10 * length(c_mktsegment), 40) - 15 + least(5 * coalesce(n_orders, 0), 20) + 5 + CASE WHEN c_acctbal > 0 THEN 10 ELSE 0 END + CASE WHEN c_nationkey = 1 THEN 5 ELSE 0 END + CASE WHEN done > 0.5 THEN 10 ELSE 0 END, 0), 100), 3) AS DOUBLE) AS score FROM cu",
     "weighted_evidence": _CU
     + "SELECT c_custkey, round("
     + " + ".join(f"coalesce({_DBL(_SIG[k])}, 50) * {_DBL(w)}" for k, w in TRANSFER.items())
