@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_MARKED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/glyphflow/{name}-{uuid.uuid4().hex}"
+    """A new path below this application's folder, which the file system deletes when the application ends."""
+    root = f"{shared_dir(spark)}/glyphflow-{spark.sparkContext.applicationId}"
+    if root not in _MARKED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _MARKED.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
