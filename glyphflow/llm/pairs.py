@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..scratch import spread, written
 from ..tables import clean_code, table
 
 #: Baskets beyond this many items are cut into tiles of BLOCK x BLOCK items, one row each.
@@ -88,10 +89,10 @@ def pair_counts(items: DataFrame) -> DataFrame:
     (1 - n_b/n) / (1 - n_ab/n_a), null where b always comes with a.
     """
     rows = items.filter("basket is not null and item is not null").select("basket", "item")
-    codes = item_codes(rows).cache()
+    codes = written(item_codes(rows), "codes")
     coded = rows.join(F.broadcast(codes) if codes.count() <= BROADCAST_ITEMS else codes, "item")
     baskets = coded.groupBy("basket").agg(F.sort_array(F.collect_set("code")).alias("codes"))
-    weights = baskets.groupBy("codes").agg(F.count("*").alias("weight"))
+    weights = written(baskets.groupBy("codes").agg(F.count("*").alias("weight")), "baskets")
     block = lambda i: F.slice("codes", F.col(i) * BLOCK + 1, F.lit(BLOCK))
     last = F.ceil(F.size("codes") / F.lit(BLOCK)).cast("int") - 1
     tiles = (
@@ -99,7 +100,8 @@ def pair_counts(items: DataFrame) -> DataFrame:
         .withColumn("bj", F.explode(F.sequence("bi", last)))
         .select(block("bi").alias("left"), block("bj").alias("right"), (F.col("bi") == F.col("bj")).alias("same"), "weight")
     )
-    sums = tiles.mapInArrow(_sum_pairs, _SCHEMA).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    # a large basket's tiles are spread over tasks
+    sums = written(spread(tiles).mapInArrow(_sum_pairs, _SCHEMA).groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
     single = sums.filter("a = b").select(F.col("a").alias("code"), F.col("n").alias("n_item"))
     named = single.join(codes, "code").select("code", "item", "n_item")
     total = weights.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("n"))
