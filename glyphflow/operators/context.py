@@ -89,7 +89,7 @@ def enrichment(counts: DataFrame, least: int = 3) -> DataFrame:
     p = rows.select("cls", "symbol", "n", "nc", "ns", "t", tail.alias("p"))
     fold = F.col("n") * F.col("t") / (F.col("nc") * F.col("ns"))
     level = F.lit(0.05) / F.col("tests")
-    return p.crossJoin(F.broadcast(tests)).select("cls", "symbol", "n", F.round(F.least("p", F.lit(1.0)), 5).alias("p_value"), r6(fold).alias("fold"), (F.col("p") < level).alias("family_wise"))
+    return p.crossJoin(F.broadcast(tests)).select("cls", "symbol", "n", F.round(F.least("p", F.lit(1.0)), 5).alias("p_value"), F.round(fold, 9).alias("fold"), (F.col("p") < level).alias("family_wise"))
 
 
 def contingency(rows: DataFrame, flag_a: Column, flag_b: Column) -> DataFrame:
@@ -173,7 +173,7 @@ SELECT cls, symbol, n, CASE WHEN (ns - n) / (t - nc) >= 1e-10 THEN round(n / nc
     + _slot_sql("p")
     + f""", r AS (SELECT *, sum(n) OVER (PARTITION BY cls) AS nc, sum(n) OVER (PARTITION BY symbol) AS ns, sum(n) OVER () AS t FROM cnt), f AS (SELECT * FROM r WHERE ns >= 3),
 k AS (SELECT *, unnest(range(n, CAST(least(nc, ns) AS BIGINT) + 1)) AS k FROM f), p AS (SELECT cls, symbol, n, nc, ns, t, sum({_PMF}) AS p FROM k WHERE nc - k <= t - ns GROUP BY ALL)
-SELECT cls, symbol, n, round(least(p, 1), 5) AS p_value, round(n * t / (nc * ns), 6) AS fold, p < 0.05 / (SELECT count(*) FROM f) AS family_wise FROM p""",
+SELECT cls, symbol, n, round(least(p, 1), 5) AS p_value, round(n * t / (nc * ns), 9) AS fold, p < 0.05 / (SELECT count(*) FROM f) AS family_wise FROM p""",
     "contingency_rates": f"""WITH c AS (SELECT count(*) FILTER (a AND b) AS n11, count(*) FILTER (a AND NOT b) AS n10, count(*) FILTER (NOT a AND b) AS n01, count(*) FILTER (NOT a AND NOT b) AS n00 FROM (SELECT o_orderstatus = 'F' AS a, o_orderpriority = '1-URGENT' AS b FROM orders)),
 d AS (SELECT *, n11 AS k, n11 + n01 AS ns, n11 + n10 AS nc, n11 + n10 + n01 + n00 AS t FROM c)
 SELECT n11, n10, n01, n00, round(n11 / nc, 6) AS rate_a, round(n01 / (n01 + n00), 6) AS rate_not_a, round((n11 / nc) / (n01 / (n01 + n00)), 6) AS enrichment, round({_PMF}, 8) AS table_probability FROM d""",
