@@ -36,6 +36,8 @@ MAX_LABELS, MAX_SOBER = 4000, 10_000
 MAX_PLAIN = 3000
 #: Tokens a worker keeps projected before it starts anew; windows scored at once.
 MEMO, AT_ONCE = 60_000, 4096
+#: Characters of a token at most; longer ones become pieces of PIECE characters, one every PIECE_STEP.
+LONG_TOKEN, PIECE, PIECE_STEP = 24, 16, 8
 
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .·*_-]){2,}[^\W\d_](?!\w)")
 _SYLLABLES = re.compile(r"^[^\W\d_]{1,2}\d?(?:-[^\W\d_]{1,2}\d?)+$")
@@ -53,6 +55,13 @@ def plain_text(text: str) -> str:
     return _SPACED.sub(lambda m: re.sub(r"[ .·*_-]", "", m.group()), text)
 
 
+def token_pieces(token: str) -> list[str]:
+    """A token of usual length as it is, a longer one as overlapping pieces that hold all its characters."""
+    if len(token) <= LONG_TOKEN:
+        return [token]
+    return [token[s : s + PIECE] for s in range(0, len(token) - PIECE_STEP, PIECE_STEP)]
+
+
 def chunk_tokens(chunk: str) -> list[str]:
     """Tokens of what stands between two blanks: the word in one spelling, and an end of sentence."""
     out = []
@@ -71,7 +80,7 @@ def chunk_tokens(chunk: str) -> list[str]:
                 for p in parts:
                     p = re.sub(r"[-.·_,:;/\\|]", "", p)
                     p = re.sub(r"(.)\1{2,}", r"\1", p)
-                    out += [p] if p else []
+                    out += token_pieces(p) if p else []
             else:
                 out.append("<mark>")
     if chunk and chunk.rstrip("\"')]»”*_>")[-1:] in tuple(".!?"):

@@ -19,7 +19,7 @@ def features(token: str) -> tuple[int, list[int]]:
     marked = f"^{token}$"
     grams = [marked[i : i + 3] for i in range(max(1, len(marked) - 2))]
     h = lambda s, seed: xxhash.xxh32_intdigest(s.encode("utf-8", "surrogatepass"), seed)
-    return h(token, 1) % WORDS, [h(g, 2) % CHARS for g in grams[:24]]
+    return h(token, 1) % WORDS, [h(g, 2) % CHARS for g in grams]
 
 
 def sigmoid(x):

@@ -118,6 +118,21 @@ def test_tokens_undo_spellings():
     assert abuse.tokens("shittt ra-zo-mi 237 𐙅 ＩＤＩＯＴ") == ["shit", "<syl>", "<num>", "<sign>", "idiot"]
 
 
+def test_every_character_of_long_tokens_is_read():
+    glued = "s o m e p e o p l e w o u l d s a y t h a t y o u a r e a w h o r e"
+    whole = glued.replace(" ", "")
+    got = abuse.tokens(glued)
+    assert got[0] == whole[:16] and any("whore" in t for t in got)
+    for n in range(1, 80):
+        token = "".join(chr(0x4E00 + i) for i in range(n))
+        pieces = abuse.token_pieces(token)
+        marked = {f"^{p}$"[i : i + 3] for p in pieces for i in range(len(p))}
+        assert max(map(len, pieces)) <= abuse.LONG_TOKEN and {token[i : i + 3] for i in range(n - 2)} <= marked
+        assert sum(len(gru.features(p)[1]) for p in pieces) == sum(map(len, pieces)) >= n
+    assert gru.features("a" * 24 + "bcd") != gru.features("a" * 24 + "xyz")
+    assert gru.features("abcdefghijklmnopqrstuvwxyzuvw")[1] != gru.features("abcdefghijklmnopqrstuvwxyzxyz")[1]
+
+
 def test_windows_cover_all_tokens():
     for n in (0, 1, 24, 25, 36, 37, 100):
         covered = {i for a, b in gru.windows(n) for i in range(a, b)}
