@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,39 +66,22 @@ def by_entropy(tokens: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def by_viterbi(tokens: DataFrame, smooth: float = 0.01) -> DataFrame:
-    """Two states, begin or go on, decoded per sequence from smoothed counts of begins and successions.
+    """Two states, begin or go on, the best path per sequence from smoothed counts of begins and successions.
 
-    Model counts are aggregates of alphabet size. Decoding keeps two scores per
-    token; a sequence is decoded in pieces of its chunk, each piece starting anew,
-    so none has to fit a task.
+    What a step adds depends on the two symbols and the state it leads to, not on
+    the state it comes from: both states of a token continue the same best path, so
+    the path goes through the likelier state of each token. That is the whole
+    sequence's Viterbi path for any length. A tie is a begin.
     """
     step = neighbours(tokens, 1, 0, ["symbol"])
     first = step.groupBy("symbol").agg(F.count_if(F.col("symbol_m1").isNull()).alias("f"), F.count("*").alias("n"))
-    pairs = step.filter("symbol_m1 is not null").groupBy(F.col("symbol_m1").alias("a"), F.col("symbol").alias("b")).agg(F.count("*").alias("n"))
-    begin = {r.symbol: (r.f, r.n) for r in first.collect()}  # alphabet
-    succ = {(r.a, r.b): r.n for r in pairs.collect()}  # alphabet squared at most
-    heads, size = sum(f for f, _ in begin.values()), len(begin)
-    lb = {s: float(np.log((f + smooth) / (heads + smooth * size))) for s, (f, _) in begin.items()}
-    lp = {(a, b): float(np.log((n + smooth) / (begin[a][1] + smooth * size))) for (a, b), n in succ.items()}
-    floor_ = {s: float(np.log(smooth / (n + smooth * size))) for s, (_, n) in begin.items()}
-
-    def decode(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("pos", ignore_index=True)
-        s = df.symbol.tolist()
-        score, back = [lb[s[0]], -np.inf], []
-        for a, b in zip(s[:-1], s[1:], strict=True):
-            go = lp.get((a, b), floor_[a])
-            best = int(score[1] > score[0])
-            back.append(best)
-            score = [score[best] + lb[b], score[best] + go]
-        state, cuts = int(score[1] > score[0]), []
-        for i in range(len(s) - 1, 0, -1):
-            if state == 0:
-                cuts.append(int(df.pos[i]))
-            state = back[i - 1]
-        return pd.DataFrame({"seq_id": [df.seq_id[0]] * len(cuts), "pos": cuts})
-
-    return tokens.select("seq_id", "pos", "symbol").groupBy("seq_id", F.floor(F.col("pos") / 4096).alias("piece")).applyInPandas(lambda df: decode(df), "seq_id long, pos long")
+    total = first.agg(F.sum("f").alias("heads"), F.count("*").alias("size"))
+    inner = step.filter("symbol_m1 is not null").select("seq_id", "pos", F.col("symbol_m1").alias("a"), F.col("symbol").alias("b"))
+    pairs = inner.groupBy("a", "b").agg(F.count("*").alias("n_ab"))
+    known = pairs.join(first.select(F.col("symbol").alias("a"), F.col("n").alias("n_a")), "a").join(first.select(F.col("symbol").alias("b"), F.col("f").alias("f_b")), "b").crossJoin(F.broadcast(total))
+    go = (F.col("n_ab") + smooth) * (F.col("heads") + smooth * F.col("size"))
+    begin = (F.col("f_b") + smooth) * (F.col("n_a") + smooth * F.col("size"))
+    return inner.join(known.filter(go <= begin).select("a", "b"), ["a", "b"]).select("seq_id", "pos")
 
 
 def vote(strategies: list[DataFrame]) -> DataFrame:

@@ -1,6 +1,8 @@
 """Hand-computed cases for the sequence layer and the core operators."""
 
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,3 +145,30 @@ def test_topk_in_blocks(spark, rows, monkeypatch):
 def test_last_version_wins(spark, rows):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 2, "c"), (2, None, "d")], "id long, v long, x string")
     assert rows(corpus.latest(df, ["id"], ["v"]), "id", "x") == [(1, "c"), (2, "d")]
+
+
+def test_viterbi_decodes_whole_sequences(spark):
+    """Boundaries at multiples of the chunk come out, and all equal one decoding of the whole sequence."""
+    rng = random.Random(3)
+    seqs = {1: [rng.choice("AAABBCD") for _ in range(9000)], 2: ["A", "B", "C"], 3: ["D"], **{k: [rng.choice("AB"), "C"] for k in range(4, 40)}}
+    for at in (4096, 8192):
+        seqs[1][at - 1 : at + 1] = ["C", "A"]  # seldom next to each other, and A begins often
+    seqs[1] = [s for i, s in enumerate(seqs[1]) if not (s == "A" and i and seqs[1][i - 1] == "C" and i not in (4096, 8192))]
+    seqs[1] = seqs[1][:4095] + ["C", "A"] + seqs[1][4097:]
+    df = spark.createDataFrame([(k, i, s) for k, v in seqs.items() for i, s in enumerate(v)], "seq_id long, pos long, symbol string")
+    got = {(r.seq_id, r.pos) for r in segment.by_viterbi(df).collect()}
+    succ, first, n = Counter(), Counter(v[0] for v in seqs.values()), Counter(s for v in seqs.values() for s in v)
+    for v in seqs.values():
+        succ.update(zip(v[:-1], v[1:], strict=True))
+    heads, size, smooth, want = len(seqs), len(n), 0.01, set()
+    for k, v in seqs.items():
+        score, back = [math.log((first[v[0]] + smooth) / (heads + smooth * size)), -math.inf], []
+        for a, b in zip(v[:-1], v[1:], strict=True):
+            best = int(score[1] > score[0])
+            back.append(best)
+            score = [score[best] + math.log((first[b] + smooth) / (heads + smooth * size)), score[best] + math.log((succ[a, b] + smooth) / (n[a] + smooth * size))]
+        state = int(score[1] > score[0])
+        for i in range(len(v) - 1, 0, -1):
+            want |= {(k, i)} if state == 0 else set()
+            state = back[i - 1]
+    assert (1, 4096) in want and got == want
