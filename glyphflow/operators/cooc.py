@@ -129,6 +129,7 @@ QUERIES = {
     "cooc_summary": lambda s, d: matrix_summary(cooccurrence(all_tokens(s, d))),
     "cooc_edges": lambda s, d: edge_list(association(cooccurrence(all_tokens(s, d))), "pmi_pair_total", 0.5),
     "crosstab_site": lambda s, d: crosstab(_tokens_with_site(s, d), "symbol", "findspot_id", [1, 2, 3, 4, 5]),
+    "crosstab_all_sites": lambda s, d: _tokens_with_site(s, d).groupBy("symbol", "findspot_id").agg(F.count("*").alias("n")),
     "crosstab_period": lambda s, d: crosstab(_tokens_with_site(s, d), "symbol", "period", ["EM", "MM", "LM"]),
     "fraction_logogram_pairs": lambda s, d: kind_pairs(all_tokens(s, d), "fraction", "logogram"),
     "logogram_clusters": lambda s, d: greedy_clusters(cooccurrence(all_tokens(s, d).filter("kind = 'logogram'"))),
@@ -157,6 +158,7 @@ tw AS (SELECT tok.*, concat_ws('/', seq_id, word) AS unit FROM tok JOIN w USING
     + "SELECT count(*) FILTER (a = b) AS symbols, count(*) AS non_zero, CAST(count(*) FILTER (a = b) * (count(*) FILTER (a = b) + 1) / 2 AS BIGINT) AS possible, round(count(*) / (count(*) FILTER (a = b) * (count(*) FILTER (a = b) + 1) / 2), 6) AS density, CAST(sum(n) AS BIGINT) AS total FROM co",
     "cooc_edges": TOKENS_SQL + _cooc() + _ASSOC + "SELECT a, b, pmi_pair_total AS weight FROM asc_ WHERE pmi_pair_total >= 0.5",
     "crosstab_site": TOKENS_SQL + _SITE + "SELECT symbol, " + ", ".join(f"count(*) FILTER (findspot_id = {i + 1}) AS c_{i}" for i in range(5)) + ", count(*) AS total FROM lg GROUP BY symbol",
+    "crosstab_all_sites": TOKENS_SQL + _SITE + "SELECT symbol, findspot_id, count(*) AS n FROM lg GROUP BY ALL",
     "crosstab_period": TOKENS_SQL + _SITE + "SELECT symbol, " + ", ".join(f"count(*) FILTER (period = '{p}') AS c_{i}" for i, p in enumerate(("EM", "MM", "LM"))) + ", count(*) AS total FROM lg GROUP BY symbol",
     "fraction_logogram_pairs": TOKENS_SQL
     + """, it AS (SELECT DISTINCT seq_id, symbol, kind FROM tok), p AS (SELECT x.symbol AS a, y.symbol AS b, count(*) AS n FROM it x JOIN it y USING (seq_id) WHERE x.kind = 'fraction' AND y.kind = 'logogram' GROUP BY ALL)

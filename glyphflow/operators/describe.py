@@ -116,6 +116,7 @@ QUERIES = {
         0.5,
     ),
     "permutation_test_md5": lambda s, d: permutation_test(all_tokens(s, d), s.createDataFrame([(q,) for q in _Q], "gram string"), 2),
+    "permutation_test_1000": lambda s, d: permutation_test(all_tokens(s, d), s.createDataFrame([(q,) for q in _Q], "gram string"), 2, 1000),
     "shuffle_null": lambda s, d: shuffle_null(all_tokens(s, d)),
 }
 
@@ -136,4 +137,11 @@ dr AS (SELECT id // 10 AS rep, id // 2 % 5 AS q, id % 2 AS i FROM range(2000) t(
 md AS (SELECT rep, q, string_agg(symbol, '-' ORDER BY i) AS gram FROM du JOIN cu ON u >= lo AND u < hi GROUP BY ALL), h AS (SELECT rep, count(*) AS hits FROM md WHERE gram IN (SELECT gram FROM sn) GROUP BY rep),
 e AS (SELECT coalesce(hits, 0) AS hits FROM range(200) r(rep) LEFT JOIN h USING (rep)), o AS (SELECT count(*) AS observed FROM q WHERE gram IN (SELECT gram FROM sn))
 SELECT observed, round(avg(hits), 5) AS expected, round(avg(CAST(hits >= observed AS INT)), 6) AS p_value, round((sum(CAST(hits >= observed AS INT)) + 1) / 201, 6) AS p_corrected FROM e, o GROUP BY observed""",
+    "permutation_test_1000": TOKENS_SQL
+    + f""", q(gram) AS (VALUES {', '.join(f"('{x}')" for x in _Q)}), sn AS (SELECT DISTINCT gram FROM (SELECT symbol || '-' || lead(symbol) OVER (PARTITION BY seq_id ORDER BY pos) AS gram FROM tok) WHERE gram IS NOT NULL),
+fr AS (SELECT symbol, count(*) AS c FROM tok GROUP BY symbol), cu AS (SELECT symbol, (sum(c) OVER (ORDER BY symbol) - c) / sum(c) OVER () AS lo, sum(c) OVER (ORDER BY symbol) / sum(c) OVER () AS hi FROM fr),
+dr AS (SELECT id // 10 AS rep, id // 2 % 5 AS q, id % 2 AS i FROM range(10000) t(id)), du AS (SELECT *, CAST('0x' || substr(md5('42|' || rep || '|' || q || '|' || i), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS u FROM dr),
+md AS (SELECT rep, q, string_agg(symbol, '-' ORDER BY i) AS gram FROM du JOIN cu ON u >= lo AND u < hi GROUP BY ALL), h AS (SELECT rep, count(*) AS hits FROM md WHERE gram IN (SELECT gram FROM sn) GROUP BY rep),
+e AS (SELECT coalesce(hits, 0) AS hits FROM range(1000) r(rep) LEFT JOIN h USING (rep)), o AS (SELECT count(*) AS observed FROM q WHERE gram IN (SELECT gram FROM sn))
+SELECT observed, round(avg(hits), 5) AS expected, round(avg(CAST(hits >= observed AS INT)), 6) AS p_value, round((sum(CAST(hits >= observed AS INT)) + 1) / 1001, 6) AS p_corrected FROM e, o GROUP BY observed""",
 }

@@ -59,7 +59,7 @@ QUERIES = {
     "word_length_distribution": lambda s, d: length_distribution(_types(s, d)),
     "paradigms": lambda s, d: paradigms(_types(s, d)),
     "reduplication": lambda s, d: _types(s, d).select("word", F.coalesce(T.reduplication(F.split("word", "-")), F.lit("-")).alias("pattern")),
-    "weighted_levenshtein": lambda s, d: _doc_words(s, d).filter("length(w) = 5 and n >= 20").select("w", T.weighted_levenshtein(F.col("w"), F.lit("stone")).alias("cost"), r6(T.letter_jaccard(F.col("w"), F.lit("stone"))).alias("letters")),
+    "weighted_levenshtein": lambda s, d: _doc_words(s, d).select("w", T.weighted_levenshtein(F.col("w"), F.lit("stone")).alias("cost"), r6(T.letter_jaccard(F.col("w"), F.lit("stone"))).alias("letters")),
 }
 
 _DW = "WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), dw AS (SELECT w, count(*) AS n FROM w GROUP BY w) "

@@ -22,3 +22,15 @@ def test_query(spark, name):
 
 def test_registry_is_consistent():
     assert set(SQL) <= set(QUERIES)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_queries_leave_nothing_out(spark):
+    from glyphflow.operators import cooc, hypotheses, words
+
+    n_tokens = cooc._tokens_with_site(spark, SF).count()
+    assert QUERIES["crosstab_all_sites"](spark, SF).agg({"n": "sum"}).first()[0] == n_tokens
+    open_symbols = {r.symbol for r in hypotheses._classes(spark, SF).collect()}
+    assert {r.symbol for r in QUERIES["random_completion"](spark, SF).collect()} == open_symbols
+    assert {r.w for r in QUERIES["weighted_levenshtein"](spark, SF).collect()} == {r.w for r in words._doc_words(spark, SF).collect()}
+    assert "permutation_test_1000" in QUERIES
