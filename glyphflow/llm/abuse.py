@@ -92,13 +92,19 @@ def tokens(text: str) -> list[str]:
     return [t for line in plain_text(text).split("\n") for c in line.split() for t in chunk_tokens(c)]
 
 
+_CUT = re.compile(r"(?<=\S\S)\s(?=\S\S)")
+
+
 def _pieces(text: str, size: int = 2_000_000) -> Iterator[str]:
+    """Parts of a long text, cut at a blank between words, not within letters spelled one by one; without a blank they overlap."""
     at = 0
     while len(text) - at > size:
-        cut = max(text.rfind(" ", at + 1, at + size), text.rfind("\n", at + 1, at + size))
-        cut = cut if cut > at else at + size
+        cuts = [m.start() for m in _CUT.finditer(text, max(at + 1, at + size - 10_000), at + size)]
+        cut = cuts[-1] if cuts else max(text.rfind(" ", at + 1, at + size), text.rfind("\n", at + 1, at + size))
+        whole = cut > at
+        cut = cut if whole else at + size
         yield text[at:cut]
-        at = cut
+        at = cut if whole else cut - PIECE
     yield text[at:]
 
 
@@ -119,6 +125,7 @@ class Scorer:
     def clear(self):
         self.chunks: dict[str, list[int]] = {}
         self.ids: dict[str, int] = {}
+        self.names: list[str] = []
         self.proj = np.zeros((0, self.net.p["bx"].size), np.float32)
         self.new: list[str] = []
 
@@ -139,6 +146,7 @@ class Scorer:
         if i is None:
             i = self.ids[token] = len(self.ids)
             self.new.append(token)
+            self.names.append(token)
         return i
 
     def scores(self, rows: list[list[int]]) -> np.ndarray:
@@ -157,6 +165,40 @@ class Scorer:
         return out
 
 
+def score_texts(scorer: Scorer, texts: Iterator[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of windows and the worst window's score of each text; the pieces of a long one overlap by half a window."""
+    n, best = [], []
+    rows: list[list[int]] = []
+    owner: list[int] = []
+
+    def flush():
+        if rows:
+            at = np.array(owner)
+            worst = np.zeros(at[-1] - at[0] + 1)
+            np.maximum.at(worst, at - at[0], scorer.scores(rows))
+            for i, s in enumerate(worst.tolist(), int(at[0])):
+                best[i] = max(best[i], s)
+            rows.clear()
+            owner.clear()
+        if len(scorer.ids) > MEMO or len(scorer.chunks) > 4 * MEMO:
+            scorer.clear()
+
+    for r, text in enumerate(texts):
+        n.append(0)
+        best.append(0.0)
+        rest: list[str] = []  # spelled out: a flush may clear the ids
+        for piece in _pieces(text) if text else ():
+            flush() if len(rows) > 4 * AT_ONCE else None
+            ids = [scorer._id(t) for t in rest] + scorer.encode(piece)
+            for a, b in windows(len(ids)):
+                rows.append(ids[a:b])
+                owner.append(r)
+                n[r] += 1
+            rest = [scorer.names[i] for i in ids[-WINDOW // 2 :]]
+    flush()
+    return np.array(n, np.int32), np.array(best, np.float64)
+
+
 def _padded(rows: list[list[int]]) -> np.ndarray:
     idx = np.full((len(rows), WINDOW), -1, np.int32)
     for i, r in enumerate(rows):
@@ -286,30 +328,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, threshold = Scorer(shared.value.net), shared.value.threshold
         for batch in batches:
-            n = np.zeros(batch.num_rows, np.int32)
-            best = np.zeros(batch.num_rows, np.float64)
-            rows: list[list[int]] = []
-            owner: list[int] = []
-
-            def flush():
-                if rows:
-                    np.maximum.at(best, owner, scorer.scores(rows))
-                    rows.clear()
-                    owner.clear()
-                if len(scorer.ids) > MEMO or len(scorer.chunks) > 4 * MEMO:
-                    scorer.clear()
-
-            for r, text in enumerate(batch.column(len(keep)).to_pylist()):
-                rest: list[int] = []
-                for piece in _pieces(text) if text else ():
-                    flush() if len(rows) > 4 * AT_ONCE else None
-                    ids = (rest if rows else []) + scorer.encode(piece)
-                    for a, b in windows(len(ids)):
-                        rows.append(ids[a:b])
-                        owner.append(r)
-                        n[r] += 1
-                    rest = ids[-WINDOW // 2 :]
-            flush()
+            n, best = score_texts(scorer, batch.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n), pa.array(best), pa.array(best >= threshold)], names=[*keep, "n_windows", "score", "found"])
 
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep), "n_windows int, score double, found boolean"])

@@ -164,6 +164,34 @@ def test_network_gradients():
         assert abs((up - down) / 2e-3 - g[k][i]) < 1e-4
 
 
+def test_windows_cross_the_pieces_of_long_texts():
+    class Seen(abuse.Scorer):
+        starts: set = set()
+
+        def scores(self, rows):
+            self.new = []
+            self.starts |= {place[self.names[r[0]]] for r in rows}
+            return np.zeros(len(rows))
+
+    letters = "bcdfghklmn"
+    word = lambda i: "".join(letters[int(c)] + "a" for c in f"{i:06d}")
+    text = " ".join(map(word, range(400_000)))
+    assert len(text) > 2 * 2_000_000
+    place = {word(i): i for i in range(400_000)}
+    n, best = abuse.score_texts(Seen(gru.Network(0)), [None, text, "", text[:50]])
+    starts = np.array(sorted(Seen.starts))
+    assert n[0] == n[2] == 0 and n[3] == 1 and n[1] >= len(starts) and len(best) == 4
+    # every run of half a window lies whole in a window
+    assert np.diff(starts).max() <= gru.WINDOW // 2 and starts[0] == 0 and starts[-1] == 400_000 - gru.WINDOW
+
+
+def test_pieces_keep_spelled_and_unbroken_text_together():
+    spelled = "word " * 3 + "s t u p i d " * 2 + "word " * 3
+    assert abuse.tokens(spelled) == [t for p in abuse._pieces(spelled, 40) for t in abuse.tokens(p)]
+    glued = "".join(chr(0x4E00 + i) for i in range(100))
+    assert all(any(glued[i : i + abuse.PIECE] in p for p in abuse._pieces(glued, 40)) for i in range(100 - abuse.PIECE))
+
+
 def test_scores_of_nulls_long_and_held_out_texts(spark):
     rng = random.Random(9)
     plain = ["The jar holds barley from the east magazine.", "Line 5 opens with ra-zo and the number 12.", "We compared two photographs of the seal.", "The edge is worn and two signs are lost."]
