@@ -10,6 +10,10 @@ repeats: in each document labelled abusive the windows that it, or the word
 pairs typical of such documents, single out become positive examples, the
 windows of the other documents negative ones; documents it contradicts strongly
 are left out of a round. The sample of labels is bounded by ``MAX_LABELS``.
+
+The threshold comes from cross-fitting: every label is scored by a network that
+did not see it. How much sober documents weigh there, and how often a word pair
+stands in unlabelled text, is counted over all documents.
 """
 
 from __future__ import annotations
@@ -17,14 +21,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import spread
+from ..scratch import spread, written
 from ..tables import table
 from .gru import WINDOW, Network, features, windows
 from .lookalikes import LATIN_LOOKALIKES
@@ -34,6 +38,8 @@ from .seeds import seed_sentences
 MAX_LABELS, MAX_SOBER = 4000, 10_000
 #: Unlabelled documents that training reads at most (by hash of their id), as weak examples of sober text.
 MAX_PLAIN = 3000
+#: Parts of the labels, each scored by a network trained on the others.
+FOLDS = 4
 #: Tokens a worker keeps projected before it starts anew; windows scored at once.
 MEMO, AT_ONCE = 60_000, 4096
 #: Characters of a token at most; longer ones become pieces of PIECE characters, one every PIECE_STEP.
@@ -109,10 +115,23 @@ def _pieces(text: str, size: int = 2_000_000) -> Iterator[str]:
 
 
 class Model:
-    """A trained network with the threshold above which a document counts as found."""
-
-    def __init__(self, net: Network, threshold: float):
-        self.net, self.threshold = net, threshold
+    """A trained network and the scores that labelled documents got from networks that had not seen them."""
+
+    def __init__(self, net: Network, held: list[tuple[float, float]]):
+        self.net, self.held = net, held
+
+    def threshold(self, rate: float) -> float:
+        """The best F1 on the labels when sober documents weigh as in a corpus of which ``rate`` is abusive."""
+        best, y = np.array(self.held, np.float64).reshape(-1, 2).T
+        if not 0 < y.sum() < len(y):
+            return 0.5  # nothing to tell apart
+        rate = min(max(rate, 0.01), 0.5)
+        ok_weight = (1 - rate) / rate * (y == 1).sum() / (y == 0).sum()
+        grid = np.linspace(0.1, 0.92, 42)
+        hits = np.array([((best >= g) & (y == 1)).sum() for g in grid])
+        wrong = np.array([((best >= g) & (y == 0)).sum() for g in grid]) * max(1.0, ok_weight)
+        f1 = 2 * hits / np.maximum(1, hits + wrong + (y == 1).sum())
+        return float(np.median(grid[f1 >= f1.max() - 0.01]))
 
 
 class Scorer:
@@ -206,15 +225,48 @@ def _padded(rows: list[list[int]]) -> np.ndarray:
     return idx
 
 
-def train(labelled: list[tuple[str, float]], plain: list[str] = (), rounds: int = 3, seed: int = 11) -> Model:
-    """A model from labelled texts (label 1 or 0), unlabelled ones and the seed sentences; works from the seeds alone if there are no others."""
+def _pairs(ids: list) -> set[tuple]:
+    return set(zip(ids[:-1], ids[1:], strict=True))
+
+
+def typical_pairs(labelled: list[tuple[str, float]]) -> set[tuple[str, str]]:
+    """Token pairs that at least three documents labelled abusive hold."""
+    n = Counter(p for text, y in labelled if y == 1 for p in _pairs([t for piece in _pieces(text) for t in tokens(piece)]))
+    return {p for p, k in n.items() if k >= 3}
+
+
+def folds(labelled: list[tuple[str, float]], rng: np.random.Generator) -> np.ndarray:
+    """A part of 0..FOLDS - 1 for each text: labels spread evenly, equal texts in one part."""
+    kinds: dict[str, float] = {}
+    for text, y in labelled:
+        kinds.setdefault(text, y)
+    part = {}
+    for y in (0.0, 1.0):
+        mine = [t for t, k in kinds.items() if k == y]
+        part |= {mine[i]: k % FOLDS for k, i in enumerate(rng.permutation(len(mine)))}
+    return np.array([part[t] for t, _ in labelled], int)
+
+
+def train(labelled: list[tuple[str, float]], plain: list[str] = (), rounds: int = 3, seed: int = 11, sober: tuple[dict, int] | None = None, each: Callable = lambda f, xs: [f(x) for x in xs]) -> Model:
+    """A model from labelled texts (label 1 or 0), unlabelled ones and the seed sentences; works from the seeds alone if there are no others.
+
+    ``sober``: in how many unlabelled texts of the corpus a token pair stands, and
+    their number; by default counted over ``plain``. ``each`` maps the function that
+    trains one of the FOLDS + 1 networks over their numbers, perhaps elsewhere.
+    """
+    part = folds(labelled, np.random.default_rng(seed))
+    if sober is None:
+        sober = Counter(p for t in plain for p in _pairs([x for piece in _pieces(t) for x in tokens(piece)])), len(plain)
+    made = each(lambda k: _fit(labelled, plain, rounds, seed, sober, part == k), [FOLDS, *sorted(set(part.tolist()))])
+    return Model(made[0][0], [x for _, held in made[1:] for x in held])
+
+
+def _fit(labelled: list[tuple[str, float]], plain: list[str], rounds: int, seed: int, in_sober: tuple[dict, int], held: np.ndarray) -> tuple[Network | None, list[tuple[float, float]]]:
+    """A network that saw all labelled texts but the held ones, or, if any are held, their scores and labels instead."""
     rng = np.random.default_rng(seed)
     ids: dict[str, int] = {}
     code = lambda text: [ids.setdefault(t, len(ids)) for p in _pieces(text) for t in tokens(p)]
     docs = [(code(t), y) for t, y in labelled]
-    held = rng.random(len(docs)) < 0.25  # these only set the threshold
-    if sum(y for _, y in docs) < 40:
-        held[:] = False
     cut = [[d[a:b] for a, b in windows(len(d))] for d, _ in docs]
     sober_docs = [i for i, (_, y) in enumerate(docs) if y == 0 and not held[i] and cut[i]]
     sober = [(i, w) for i in sober_docs for w in cut[i]]
@@ -225,7 +277,7 @@ def train(labelled: list[tuple[str, float]], plain: list[str] = (), rounds: int
     if len(weak) > MAX_SOBER:
         weak = [weak[k] for k in rng.choice(len(weak), MAX_SOBER, replace=False)]
     bad_docs = [i for i, (_, y) in enumerate(docs) if y == 1 and not held[i] and cut[i]]
-    names = sorted({w for t, _ in labelled[:400] for w in re.findall(r"(?<=[a-z,] )[A-Z][a-z]{5,}", t)})[:60]
+    names = sorted({w for (t, _), h in zip(labelled[:400], held, strict=False) if not h for w in re.findall(r"(?<=[a-z,] )[A-Z][a-z]{5,}", t)})[:60]
     planted = []
     for text, y in seed_sentences(names):
         sentence = code(text)
@@ -235,12 +287,12 @@ def train(labelled: list[tuple[str, float]], plain: list[str] = (), rounds: int
         row = (around[: max(0, left)] + sentence + around[left:room])[:WINDOW] if rng.random() < 0.8 else sentence[:WINDOW]
         planted.append((row, y))
     # word pairs by how much they mark documents labelled abusive
-    pairs = lambda w: {(a, b) for a, b in zip(w[:-1], w[1:], strict=True)}
-    near = lambda d: {p for w in cut[d] for p in pairs(w)}
+    near = lambda d: {p for w in cut[d] for p in _pairs(w)}
     bad_n, ok_n = Counter(p for d in bad_docs for p in near(d)), Counter(p for d in sober_docs for p in near(d))
-    ok_n.update(p for d in plain_docs for p in pairs(d))
-    base = np.log((len(bad_docs) + 1) / (len(sober_docs) + len(plain_docs) + 1))
-    odds = {p: np.log((n + 0.2) / (ok_n[p] + 0.2 + 0.02 * n)) - base for p, n in bad_n.items() if n >= 3}
+    counts, n_sober = in_sober
+    spelled = list(ids)
+    base = np.log((len(bad_docs) + 1) / (len(sober_docs) + n_sober + 1))
+    odds = {p: np.log((n + 0.2) / (ok_n[p] + counts.get((spelled[p[0]], spelled[p[1]]), 0) + 0.2 + 0.02 * n)) - base for p, n in bad_n.items() if n >= 3}
     net = Network(seed)
     feats: list = []
 
@@ -262,7 +314,7 @@ def train(labelled: list[tuple[str, float]], plain: list[str] = (), rounds: int
         for d in bad_docs:
             s, mine = s_bad[at : at + len(cut[d])], cut[d]
             at += len(cut[d])
-            marks = np.array([sum(sorted((odds.get(p, -1.0) for p in pairs(w)), reverse=True)[:3]) if len(w) > 1 else -3.0 for w in mine])
+            marks = np.array([sum(sorted((odds.get(p, -1.0) for p in _pairs(w)), reverse=True)[:3]) if len(w) > 1 else -3.0 for w in mine])
             marks = sigmoid_np(marks - 4.0)
             both = np.maximum(s, marks)
             if both.max() < 0.3:
@@ -277,25 +329,12 @@ def train(labelled: list[tuple[str, float]], plain: list[str] = (), rounds: int
         rows += [(w, 0.0, 1.0) for (_, w), s in zip(sober, s_ok, strict=True) if s < 0.97]
         rows += [(w, 0.0, 0.5) for w, s in zip(weak, score(weak), strict=True) if s < 0.4]
         fit(rows, 2, k)
-    threshold = 0.5
-    if held.any():
-        some = [i for i in np.flatnonzero(held) if cut[i]]
-        flat, owner = [w for i in some for w in cut[i]], np.repeat(np.arange(len(some)), [len(cut[i]) for i in some])
-        best = np.zeros(len(some))
-        np.maximum.at(best, owner, score(flat))
-        y = np.array([docs[i][1] for i in some])
-        # labels are no random sample: sober documents weigh as much as in the corpus
-        flat = [d[a:b] for d in plain_docs[:1500] for a, b in windows(len(d))]
-        worst = np.zeros(max(1, len(plain_docs[:1500])))
-        np.maximum.at(worst, np.repeat(np.arange(len(plain_docs[:1500])), [len(windows(len(d))) for d in plain_docs[:1500]]), score(flat)) if flat else None
-        rate = min(max((worst >= 0.9).mean(), 0.01), 0.5)
-        ok_weight = (1 - rate) / rate * max(1, (y == 1).sum()) / max(1, (y == 0).sum())
-        grid = np.linspace(0.1, 0.92, 42)
-        hits = np.array([((best >= g) & (y == 1)).sum() for g in grid])
-        wrong = np.array([((best >= g) & (y == 0)).sum() for g in grid]) * max(1.0, ok_weight)
-        f1 = 2 * hits / np.maximum(1, hits + wrong + (y == 1).sum())
-        threshold = float(np.median(grid[f1 >= f1.max() - 0.01]))
-    return Model(net, threshold)
+    if not held.any():
+        return net, []
+    some = [i for i in np.flatnonzero(held) if cut[i]]
+    best = np.zeros(len(some))
+    np.maximum.at(best, np.repeat(np.arange(len(some)), [len(cut[i]) for i in some]), score([w for i in some for w in cut[i]]))
+    return None, [(b, docs[i][1]) for b, i in zip(best.tolist(), some, strict=True)]
 
 
 def sigmoid_np(x):
@@ -310,36 +349,85 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS) -
     return [(r.text, 1.0 if r.y > 0.5 else 0.0) for r in rows]
 
 
+def _unlabelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text").filter("text is not null and text <> ''").join(labels.select("doc_id"), "doc_id", "left_anti")
+
+
 def plain_texts(docs: DataFrame, labels: DataFrame, most: int = MAX_PLAIN) -> list[str]:
     """At most ``most`` unlabelled texts, chosen by hash of the id."""
-    some = docs.select("doc_id", "text").filter("text is not null and text <> ''").join(labels.select("doc_id"), "doc_id", "left_anti")
-    return [r.text for r in some.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(most).collect()]
+    return [r.text for r in _unlabelled(docs, labels).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(most).collect()]
+
+
+def pair_counts(docs: DataFrame, wanted: set[tuple[str, str]]) -> tuple[dict[tuple[str, str], int], int]:
+    """In how many texts each of the wanted token pairs stands, and the number of texts."""
+    vocabulary = {t: i for i, t in enumerate(sorted({t for p in wanted for t in p}))}
+    size = max(1, len(vocabulary))
+    by_code = {vocabulary[a] * size + vocabulary[b]: (a, b) for a, b in wanted}
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, np.array(sorted(by_code), np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, codes = shared.value
+        chunks: dict[str, list[int]] = {}
+        total, n = np.zeros(len(codes), np.int64), 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                n += 1
+                rest: list[int] = []
+                seen = [np.empty(0, np.int64)]
+                for piece in _pieces(text):
+                    ids = rest
+                    for c in plain_text(piece).split():
+                        if c not in chunks:
+                            if len(chunks) > 4 * MEMO:
+                                chunks.clear()
+                            chunks[c] = [known.get(t, -1) for t in chunk_tokens(c)]
+                        ids += chunks[c]
+                    at = np.array(ids, np.int64)
+                    seen.append(np.unique((at[:-1] * size + at[1:])[(at[:-1] >= 0) & (at[1:] >= 0)]))
+                    rest = ids[-1:]
+                total[np.isin(codes, np.concatenate(seen))] += 1
+        hit = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[codes[hit], -1]), pa.array(np.r_[total[hit], n])], names=["code", "n"])
+
+    rows = spread(docs.filter("text is not null and text <> ''").select(F.col("text").cast("string"))).mapInArrow(run, "code long, n long")
+    got = {r.code: r.n for r in rows.groupBy("code").agg(F.sum("n").alias("n")).collect()}
+    return {by_code[c]: n for c, n in got.items() if c >= 0}, got.get(-1, 0)
+
+
+def trained(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of these documents and labels; its networks are trained in tasks of their own."""
+    sc = docs.sparkSession.sparkContext
+    labelled = labelled_texts(docs, labels)
+    sober = pair_counts(_unlabelled(docs, labels), typical_pairs(labelled))
+    return train(labelled, plain_texts(docs, labels), sober=sober, each=lambda f, xs: sc.parallelize(xs, len(xs)).map(f).collect())
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep``, ``n_windows``, ``score`` (0..1, that of the worst window) and ``found``.
 
     Rows stay one to one. Every window of the whole text is scored; null and empty
-    texts have no window and score 0.
+    texts have no window and score 0. Scores are written once; the share of texts at
+    0.9 or more among all of them sets the threshold.
     """
     types = dict(docs.dtypes)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, threshold = Scorer(shared.value.net), shared.value.threshold
+        scorer = Scorer(shared.value)
         for batch in batches:
             n, best = score_texts(scorer, batch.column(len(keep)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n), pa.array(best), pa.array(best >= threshold)], names=[*keep, "n_windows", "score", "found"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n), pa.array(best)], names=[*keep, "n_windows", "score"])
 
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep), "n_windows int, score double, found boolean"])
-    return spread(docs.select(*keep, F.col("text").cast("string"))).mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep), "n_windows int, score double"])
+    out = written(spread(docs.select(*keep, F.col("text").cast("string"))).mapInArrow(run, schema), "scores")
+    rate = out.filter("n_windows > 0").agg(F.avg((F.col("score") >= 0.9).cast("int"))).first()[0]
+    return out.withColumn("found", F.col("score") >= model.threshold(rate or 0.0))
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "review_labels")
-    model = train(labelled_texts(docs, labels), plain_texts(docs, labels))
-    return scored(docs, model, ["doc_id", "source"])
+    return scored(docs, trained(docs, labels), ["doc_id", "source"])
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,6 +192,28 @@ def test_pieces_keep_spelled_and_unbroken_text_together():
     assert all(any(glued[i : i + abuse.PIECE] in p for p in abuse._pieces(glued, 40)) for i in range(100 - abuse.PIECE))
 
 
+def test_threshold_needs_no_number_of_labels_and_follows_the_rate():
+    few = [("You are a stupid filthy pig.", 1.0), ("I will break your legs.", 1.0), *((f"The jar number {i} holds barley.", 0.0) for i in range(12))]
+    model = abuse.train(few, rounds=1)
+    assert len(model.held) == len(few) and sum(y for _, y in model.held) == 2
+    some = abuse.Model(model.net, [(0.6, 1.0)] * 30 + [(0.95, 1.0)] * 30 + [(0.7, 0.0)] * 2 + [(0.05, 0.0)] * 60)
+    assert some.threshold(0.5) < 0.6 and some.threshold(0.02) > 0.7
+    assert abuse.Model(model.net, []).threshold(0.1) == 0.5
+
+
+def test_equal_texts_share_a_fold():
+    texts = [(f"t{i % 9}", float(i % 9 < 3)) for i in range(36)]
+    part = abuse.folds(texts, np.random.default_rng(0))
+    assert all(len({p for p, (u, _) in zip(part, texts, strict=True) if u == t}) == 1 for t, _ in texts) and set(part) == set(range(abuse.FOLDS))
+
+
+def test_pairs_are_counted_over_all_texts(spark):
+    n = 2 * abuse.MAX_PLAIN
+    df = spark.range(n).select(F.concat(F.lit("Red jar. A "), F.when(F.col("id") % 2 == 0, "red").otherwise("blue"), F.lit(" jar, red jar")).alias("text")).union(spark.createDataFrame([(None,), ("",), ("jar red",)], "text string"))
+    assert abuse.pair_counts(df, {("red", "jar"), ("blue", "jar"), ("jar", "blue")}) == ({("red", "jar"): n, ("blue", "jar"): n // 2}, n + 1)
+    assert abuse.pair_counts(df, set()) == ({}, n + 1)
+
+
 def test_scores_of_nulls_long_and_held_out_texts(spark):
     rng = random.Random(9)
     plain = ["The jar holds barley from the east magazine.", "Line 5 opens with ra-zo and the number 12.", "We compared two photographs of the seal.", "The edge is worn and two signs are lost."]
