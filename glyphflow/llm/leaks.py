@@ -4,8 +4,12 @@ Method: SimHash of item-sized windows. Every window of ``size`` words of a
 document gets a 64-bit SimHash of its weighted word shingles. The items' windows
 stand in a multi-index: the fingerprint is cut into radius + 1 blocks, and two
 fingerprints within the radius agree in one block at least, so looking up every
-block finds them all. Candidates are verified by the exact similarity of their
-weighted shingles; :func:`p7_found` then asks for equal words.
+block finds them all. Fingerprints of similar windows may lie further apart, so a
+prefix filter on the shingles finds the rest: of an item's window, in order of
+hash, only the first shingles are indexed, until what is left weighs too little
+for the similarity; a similar window holds one of them. Candidates are verified
+by the exact similarity of their weighted shingles; :func:`p7_found` asks for equal
+words, which have equal fingerprints, and leaves the prefix filter out.
 
 The items are a stated query set: their windows are counted, cut into slices of
 at most ``SLICE`` and broadcast slice by slice; documents are never shuffled.
@@ -77,7 +81,7 @@ def _fingerprints(hashes, weights, per):
 class Index:
     """Windows of the items in a multi-index over blocks of their fingerprints."""
 
-    def __init__(self, items: list[tuple[int, str]], size: int, shingle: int, radius: int):
+    def __init__(self, items: list[tuple[int, str]], size: int, shingle: int, radius: int, least: float | None = None):
         self.size, self.shingle, self.radius, self.per = size, shingle, radius, size - shingle + 1
         known = _Words()
         rows = []
@@ -101,6 +105,42 @@ class Index:
             value = self._block(self.f, lo, hi)
             order = np.argsort(value, kind="stable")
             self.blocks.append((lo, hi, value[order], order))
+        if least is not None:
+            self._prefixes(least)
+
+    def _prefixes(self, least: float):
+        """Shingles of which a window with similarity ``least`` to one of the items holds at least one."""
+        order = np.argsort(self.h, axis=1, kind="stable")
+        h, w = np.take_along_axis(self.h, order, 1), np.take_along_axis(self.w, order, 1).astype(np.int64)
+        w[:, 1:] *= h[:, 1:] != h[:, :-1]  # sets of shingles
+        before = np.cumsum(w, 1) - w
+        window, place = np.nonzero((w > 0) & (w.sum(1)[:, None] - before >= least * w.sum(1)[:, None] * (1 - 1e-9)))
+        value = h[window, place]
+        by = np.argsort(value, kind="stable")
+        self.prefix = value[by], window[by]
+
+    def sharing(self, h, inside) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (window that starts at a place in ``inside``, window of an item) that share a shingle of the item's prefix."""
+        values, windows = self.prefix
+        ok = np.zeros(len(h) + 1, bool)
+        ok[inside] = True
+        first, last = np.searchsorted(values, h, "left"), np.searchsorted(values, h, "right")
+        hit, out = np.flatnonzero(last > first), []
+        ends, lo = np.cumsum((last - first)[hit]), 0
+        while lo < len(hit):  # in slices of about a million candidates
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 1_000_000 // self.per, "right")))
+            part = hit[lo:hi]
+            n = (last - first)[part]
+            s = np.repeat(part, n)
+            j = windows[np.repeat(first[part], n) + np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)]
+            i = (s[:, None] - np.arange(self.per)).ravel()
+            j = np.repeat(j, self.per)
+            good = i >= 0
+            good[good] = ok[i[good]]
+            out.append(np.unique((i[good] << 32) | j[good]))
+            lo = hi
+        pairs = np.unique(np.concatenate(out)) if out else np.empty(0, np.int64)
+        return pairs >> 32, pairs & 0xFFFFFFFF
 
     @staticmethod
     def _block(f, lo, hi):
@@ -153,13 +193,13 @@ def _pieces(text: str, size: int) -> Iterator[list[str]]:
         held = (held + piece)[-(size - 1) :]
 
 
-def leaked(docs: DataFrame, items: DataFrame, size: int = SIZE, shingle: int = SHINGLE, radius: int = RADIUS, least: float = 0.8) -> DataFrame:
+def leaked(docs: DataFrame, items: DataFrame, size: int = SIZE, shingle: int = SHINGLE, radius: int = RADIUS, least: float = 0.8, similar: bool = True) -> DataFrame:
     """``doc_id, item_id, n_windows, n_item_windows, best, same``: documents with a window like one of an item.
 
     ``docs``: ``doc_id, text``; ``items``: ``item_id, text``. A pair comes out when
-    a window of ``size`` words of the document has a fingerprint within ``radius`` of
-    one of the item and a similarity of its weighted ``shingle``-word shingles of at
-    least ``least``. ``n_windows`` counts the document's such windows, ``best`` is
+    a window of ``size`` words of the document has a similarity of its weighted
+    ``shingle``-word shingles to those of one of the item of at least ``least``;
+    without ``similar`` only if their fingerprints are within ``radius`` too. ``n_windows`` counts the document's such windows, ``best`` is
     the highest similarity, ``n_item_windows`` the item's windows with equal words
     in the document, and ``same`` whether there is one. Null or empty texts and
     items shorter than ``size`` words give no rows; null ids are left out; repeated
@@ -180,7 +220,7 @@ def leaked(docs: DataFrame, items: DataFrame, size: int = SIZE, shingle: int = S
     schema = "doc_id long, item_id long, at array<int>, n_windows int, best double"
     found = None
     for some in slices:
-        index = spark.sparkContext.broadcast(Index(some, size, shingle, radius))
+        index = spark.sparkContext.broadcast(Index(some, size, shingle, radius, least if similar else None))
         rows = texts.mapInArrow(_searcher(index, least), schema)
         found = rows if found is None else found.unionByName(rows)
     out = found.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max(F.size("at")).alias("n_item_windows"), F.max("best").alias("best"))
@@ -238,6 +278,10 @@ def _search(index: Index, known: _Words, block: list[str], docs: list[tuple[int,
         f[s:e] = _fingerprints(h[s : e + per - 1], w[s : e + per - 1], per)
     i, j = index.near(f[inside])
     i = inside[i]
+    if hasattr(index, "prefix"):
+        more_i, more_j = index.sharing(h, inside)
+        pairs = np.unique(np.r_[(i << 32) | j, (more_i << 32) | more_j])
+        i, j = pairs >> 32, pairs & 0xFFFFFFFF
     if not len(i):
         return
     span = i[:, None] + np.arange(per)
@@ -258,7 +302,7 @@ def _search(index: Index, known: _Words, block: list[str], docs: list[tuple[int,
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
+    pairs = leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"), similar=False)
     return pairs.filter("same").select("doc_id", "item_id")
 
 

@@ -70,6 +70,29 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     assert got == want and (102, 3) in got
 
 
+def test_similar_windows_equal_brute_force(spark):
+    """Windows of similarity 0.8 or more are found however far their fingerprints are apart."""
+    rng = random.Random(8)
+    items = [(i, " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(14))) for i in range(60)]
+    items.append((60, " ".join(["on and"] * 7)))
+    docs = []
+    for i, t in items:
+        w = t.split()
+        docs += [(10 * i + k, " ".join(["before", *w[: 12 - k], *["x" * (1 + k)] * k, "after", "it"])) for k in range(3)]
+        docs.append((10 * i + 4, " ".join([*w[:11], "unlike", *w[2:14]])))
+    got = {(r.doc_id, r.item_id): (r.n_windows, round(r.best, 9)) for r in leaks.leaked(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    grams = lambda t: [{tuple(w[a + k : a + k + 5]) for k in range(8)} for w in [t.split()] for a in range(len(w) - 11)]
+    size = lambda s: sum(len(x) for g in s for x in g)
+    want, apart = {}, [(i, grams(t)) for i, t in items]
+    for d, t in docs:
+        for i, windows in apart:
+            best = [max(size(a & b) / size(a | b) for b in windows) for a in grams(t)]
+            good = [b for b in best if b >= 0.8]
+            if good:
+                want[d, i] = (len(good), round(max(good), 9))
+    assert got == want and len(want) > 100
+
+
 def test_leak_index_finds_everything_within_the_radius():
     rng = np.random.default_rng(1)
     index = leaks.Index([(1, " ".join(f"a{i}" for i in range(40)))], 12, 5, 3)
