@@ -149,7 +149,7 @@ def _rows(b, ahead):
         yield cols
 
 
-def _emitter(sketch, ahead, base, size, width, hot):
+def _emitter(sketch, ahead, base, size, width, hot, code_type):
     def run(batches):
         bits, hot_cells = sketch.value
         for b in batches:
@@ -178,9 +178,7 @@ def _emitter(sketch, ahead, base, size, width, hot):
                     continue
                 salts = np.maximum(1, est // hot)
                 g = base.value[part] + at + at_rows
-                content = np.lib.stride_tricks.sliding_window_view(code.astype("<i4"), size)[at_rows]
-                if code.max() < 65536:
-                    content = content.astype("<u2")
+                content = np.lib.stride_tricks.sliding_window_view(code.astype(code_type), size)[at_rows]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(entity[at_rows]), pa.array(g), pa.array(pos[at_rows]), pa.array(pos[at_rows + size - 1]),
@@ -208,7 +206,9 @@ def shared_stretches(events: DataFrame, size: int = 20, width: int | None = None
     rows = events.filter("entity is not null and pos is not null").select(F.col("entity").cast("long"), F.col("pos").cast("long"), F.col("event").cast("string"))
     words = rows.filter("event is not null").select("event").distinct()
     codes = written(words.select("event", F.row_number().over(W.orderBy("event")).alias("code")), "codes")
-    coded = rows.join(F.broadcast(codes) if codes.count() <= 100_000 else codes, "event", "left").select("entity", "pos", F.coalesce("code", F.lit(0)).alias("code"))
+    n_codes = codes.count()
+    code_type = "<u2" if n_codes < 65536 else "<i4"  # one for all chunks: windows are grouped by their bytes
+    coded = rows.join(F.broadcast(codes) if n_codes <= 100_000 else codes, "event", "left").select("entity", "pos", F.coalesce("code", F.lit(0)).alias("code"))
     placed = coded.repartitionByRange(partitions, "entity", "pos") if partitions else coded.repartitionByRange("entity", "pos")
     chunks = written(placed.sortWithinPartitions("entity", "pos", F.col("code").desc()).mapInArrow(_chunker(size), _CHUNKS), "chunks")
     # a row per partition: its size and its first events, which the last chunk before it looks ahead to
@@ -243,7 +243,7 @@ def shared_stretches(events: DataFrame, size: int = 20, width: int | None = None
         hot_cells[row].append((np.frombuffer(bytes(m.hot), np.int32).astype(np.int64) + i * (width // per), np.frombuffer(bytes(m.hot_n), np.int64)))
     sketch = sc.broadcast((bits, [tuple(np.concatenate(x) for x in zip(*h, strict=True)) for h in hot_cells]))
     schema = "entity long, g long, first_pos long, last_pos long, content binary, salts int, salt int"
-    windows = written(chunks.mapInArrow(_emitter(sketch, ahead, offsets, size, width, hot), schema), "windows")
+    windows = written(chunks.mapInArrow(_emitter(sketch, ahead, offsets, size, width, hot, code_type), schema), "windows")
     # exact: a window is shared if two entities have its content; salted where the sketch says it is frequent
     some = windows.groupBy("content", "salt").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi"), F.max("salts").alias("salts"))
     shared = some.groupBy("content").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("salts").alias("salts")).filter("lo < hi")

@@ -113,3 +113,11 @@ def test_spans_of_nothing(spark):
     df = spark.createDataFrame([(1, 1, None), (1, 2, "a")], "entity long, pos long, event string")
     assert spans.shared_stretches(df, size=5).count() == 0
     assert spans.shared_stretches(df.limit(0)).count() == 0
+
+
+def test_spans_of_more_events_than_two_bytes_hold(spark):
+    """A span stands once among low codes and once in a chunk that holds codes over 65,535 too."""
+    most = spark.range(70_000).select(F.lit(1).alias("entity"), F.col("id").alias("pos"), F.format_string("e%06d", "id").alias("event"))
+    copy = spark.range(30).select(F.lit(2).alias("entity"), F.col("id").alias("pos"), F.format_string("e%06d", F.col("id") + 100).alias("event"))
+    got = spans.shared_stretches(most.unionByName(copy), partitions=1).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 100, 129, 30), (2, 0, 29, 30)]
