@@ -11,11 +11,22 @@ from ..operators.orphans import REFS, OrphanTracker
 EVENTS = "what string, child string, id long, parent string, key long, at timestamp, period string, first timestamp, last timestamp, deleted timestamp"
 
 
-def follow(spark: SparkSession, path: str, checkpoint: str, schema: str = EVENTS) -> OrphanTracker:
-    """Runs all events that have arrived under ``path`` (Parquet) through a tracker and returns it."""
-    tracker = OrphanTracker(spark)
+def follow(spark: SparkSession, path: str, checkpoint: str, schema: str = EVENTS, state: str | None = None) -> OrphanTracker:
+    """Runs all events that have arrived under ``path`` (Parquet) through a tracker and returns it.
+
+    The tracker's tables and a manifest per batch stay in ``state``, by default
+    beside the checkpoint, so a restart goes on where the stream does. A batch that
+    the stream repeats after a failure starts from the manifest before it and
+    overwrites its own tables.
+    """
+    tracker = OrphanTracker(spark, state or f"{checkpoint.rstrip('/')}-state")
+    tracker.restore()
 
     def advance(batch: DataFrame, batch_id: int) -> None:
+        if batch_id and tracker.batch != batch_id - 1 and not tracker.restore(batch_id - 1):
+            raise RuntimeError(f"no state before batch {batch_id}")
+        if not batch_id:
+            tracker.reset()
         of = lambda what: batch.filter(F.col("what") == what)
         tracker.advance(batch_id, of("ref").select(*REFS), of("parent").select("parent", "key", "first", "last"), of("deletion").select("parent", "key", "deleted"))
 

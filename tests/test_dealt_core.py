@@ -34,14 +34,15 @@ def brute(refs, parents, deletions):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_any_batches_give_the_brute_force_result(spark, seed):
+@pytest.mark.parametrize(("seed", "order", "fan_in"), [(1, (0, 10, 20), 16), (2, (0, 10, 20), 2), (3, (20, 0, 10), 2)])
+def test_any_batches_give_the_brute_force_result(spark, monkeypatch, seed, order, fan_in):
+    monkeypatch.setattr(orphans, "FAN_IN", fan_in)
     rng = random.Random(seed)
     refs = [("c", i, "p", rng.randrange(12) if rng.random() > 0.1 else None, day(rng.randrange(30)), None) for i in range(60)]
     parents = [("p", k, day(d), day(d)) for k in range(8) for d in [rng.randrange(30) for _ in range(rng.randrange(1, 4))]]
     deletions = [("p", rng.randrange(12), day(rng.randrange(30))) for _ in range(6)] + [("p", None, day(3))]
     tracker = orphans.OrphanTracker(spark)
-    for lo in (0, 10, 20):
+    for lo in order:
         now = lambda xs, c: [x for x in xs if lo <= (x[c] - T0).days < lo + 10]  # noqa: B023, E731
         tracker.advance(lo, spark.createDataFrame(now(refs, 4), REF), spark.createDataFrame(now(parents, 3), PAR), spark.createDataFrame(now(deletions, 2), DEL))
     got = {(r.child, r.id): r.status for r in tracker.orphans().collect()}
@@ -71,6 +72,28 @@ def test_stream(spark, tmp_path):
     assert [(r.id, r.status) for r in tracker.orphans().collect()] == [(1, "deleted")]
 
 
+def test_stream_goes_on_after_a_restart(spark, tmp_path, monkeypatch):
+    from glyphflow.streaming.orphans import EVENTS, follow
+
+    monkeypatch.setattr(orphans, "FAN_IN", 2)
+    put = lambda *rows: spark.createDataFrame(list(rows), EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    ref = lambda i, k, d: ("ref", "c", i, "p", k, day(d), None, None, None, None)
+    parent = lambda k, d: ("parent", None, None, "p", k, None, None, day(d), day(d), None)
+    run = lambda: sorted((r.id, r.status) for r in follow(spark, str(tmp_path / "in"), str(tmp_path / "cp")).orphans().collect())
+    put(ref(1, 7, 1), ref(2, 8, 1), ref(4, 9, 1), parent(9, 0))
+    assert run() == [(1, "missing"), (2, "missing")]
+    put(ref(3, 7, 2), parent(8, 3))
+    assert run() == [(1, "missing"), (2, "late"), (3, "missing")]
+    put(("deletion", None, None, "p", 9, None, None, None, None, day(4)), ("deletion", None, None, "p", 8, None, None, None, None, day(4)))
+    assert run() == [(1, "missing"), (2, "deleted"), (3, "missing"), (4, "deleted")]
+    assert run() == [(1, "missing"), (2, "deleted"), (3, "missing"), (4, "deleted")]  # nothing new
+    tracker = orphans.OrphanTracker(spark, str(tmp_path / "cp-state"))
+    assert tracker.restore(1)  # the stream repeats its last batch
+    assert sorted((r.id, r.status) for r in tracker.orphans().collect()) == [(1, "missing"), (2, "late"), (3, "missing")]
+    put(parent(8, 5), parent(9, 5), parent(7, 5))
+    assert run() == [(1, "late"), (2, "late"), (3, "late")]
+
+
 def test_tree_equals_group_by_with_a_hot_key(spark, rows):
     data = [(i, "hot" if i % 3 else f"k{i % 50}", float(i % 7) if i % 5 else None) for i in range(2000)] + [(5, "hot", 5.0), (None, "a", 1.0), (2001, None, 1.0)]
     df = spark.createDataFrame(data, "id long, key string, v double").withColumn("chunk", F.lit("clash")).withColumn("n", F.lit(1))
