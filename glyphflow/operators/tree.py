@@ -1,11 +1,10 @@
 """Per-key results where a few keys hold most rows (problem 3).
 
-Method: multi-level tree aggregation. Records are dealt into chunks of a fixed
-size by their id, whatever their key; each chunk combines its records per key;
-then states of ``fan_in`` chunks merge per round until one chunk is left. No
-task reads more than one chunk of records, and a key meets at most ``fan_in``
-states of it at once, so a key that owns a third of all rows costs one state
-per chunk like any other.
+Method: multi-level tree aggregation. Records are dealt into chunks of about a
+fixed size by a hash of their id, whatever their key; each chunk combines its
+records per key; then states of ``fan_in`` chunks merge per round until one chunk
+is left. A key meets at most ``fan_in`` states of it at once, so a key that owns
+a third of all rows costs one state per chunk like any other.
 """
 
 from __future__ import annotations
@@ -15,9 +14,10 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from ..tables import clean_code, table
 
-#: Records a chunk holds at most, and chunks that one merge takes.
+#: Records of a chunk, about, and chunks that one merge takes.
 CHUNK_ROWS, FAN_IN = 65_536, 16
 
 
@@ -50,21 +50,20 @@ def tree_aggregate(records: DataFrame, record_id: str, keys: dict[str, Column],
     Rows with the same ``record_id`` (a long) are one record and the one that comes
     first in the order of all its columns counts; rows without id are left out. A
     null key gives no group, null inputs of a state are passed over as by SQL
-    aggregates. An empty table gives no rows.
+    aggregates. An empty table gives no rows. The states are written once.
     """
-    top = records.agg(F.max(record_id), F.min(record_id)).first()
-    span = 0 if top[0] is None else top[0] // chunk_rows - top[1] // chunk_rows + 1
-    base = 0 if top[0] is None else top[1] // chunk_rows
-    chunk = (F.floor(F.col("__id") / chunk_rows) - base).cast("long")
+    chunks = max(1, math.ceil(records.count() / chunk_rows))
+    chunk = F.pmod(F.xxhash64("__id"), F.lit(chunks))
     cols = [F.col(record_id).cast("long").alias("__id"), F.struct(*(c.cast("string").alias(k) for k, c in keys.items()), *(s.start.alias(f"s_{s.name}") for s in states)).alias("r")]
     dealt = records.filter(F.col(record_id).isNotNull()).select(*cols).withColumn("chunk", chunk).repartition("chunk")
     single = dealt.groupBy("chunk", "__id").agg(F.min("r").alias("r"))
     entries = F.explode(F.array(*(F.struct(F.lit(k).alias("field_name"), F.col(f"r.{k}").alias("key_value")) for k in keys)))
     local = single.select("chunk", entries.alias("e"), "r").select("chunk", "e.field_name", "e.key_value", "r.*").filter("key_value is not null")
     out = local.groupBy("chunk", "field_name", "key_value").agg(*(s.merge(f"s_{s.name}").alias(s.name) for s in states))
-    for _ in range(math.ceil(math.log(max(span, 2), fan_in))):
+    while chunks > 1:
+        chunks = math.ceil(chunks / fan_in)
         out = out.withColumn("chunk", F.floor(F.col("chunk") / fan_in)).groupBy("chunk", "field_name", "key_value").agg(*(s.merge(s.name).alias(s.name) for s in states))
-    return out.drop("chunk")
+    return written(out.drop("chunk"), "states")  # read more than once, and a row per key
 
 
 def _sign_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
