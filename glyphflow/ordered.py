@@ -17,6 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 RUN_SCHEMA = "kind int, entity long, event string, first_pos long, last_pos long, first_end long, last_end long, n long"
 _EDGE_SCHEMA = RUN_SCHEMA + ", part int, edge int"
 
@@ -89,12 +91,18 @@ def _chunk_runs(max_gap, least):
                 if first and len(inner):
                     out.append(row(inner[0]) | {"part": part, "edge": 1})
                     inner, first = inner[1:], False
-                keep = inner[size[inner] >= least]
-                out += [row(r) | {"part": part, "edge": 0} for r in keep]
+                    keep = inner[size[inner] >= least]
+                if len(keep):  # whole runs leave as columns
+                    at, end_at = starts[keep], lasts[keep]
+                    named = pc.take(words.dictionary, pa.array(event[at], mask=event[at] < 0)).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(kind[at], pa.int32()), pa.array(entity[at]), named, pa.array(pos[at]), pa.array(pos[end_at]), pa.array(end[at]), pa.array(far[keep]), pa.array(size[keep].astype(np.int64)),
+                            pa.array(np.full(len(keep), part, np.int32)), pa.array(np.zeros(len(keep), np.int32)),
+                        ],
+                        schema=_ARROW,
+                    )
                 held = row(len(starts) - 1)
-            if len(out) > 20_000:
-                yield _as_batch(out)
-                out = []
         if held is not None:
             out.append(held | {"part": part, "edge": 3 if first else 2})
         if out:
@@ -114,12 +122,7 @@ def _stitch(max_gap, least):
     final = pa.schema([f for f in _ARROW if f.name not in ("part", "edge")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges: list[dict] = []
-        for batch in batches:
-            inner = batch.filter(pc.equal(batch.column("edge"), 0))
-            if inner.num_rows:
-                yield inner.select(final.names)
-            edges += batch.filter(pc.greater(batch.column("edge"), 0)).to_pylist()
+        edges = [row for batch in batches for row in batch.to_pylist()]
         edges.sort(key=lambda r: (r["part"], r["edge"]))
         out, held, whole = [], None, False
         for e in edges:
@@ -156,8 +159,10 @@ def sorted_runs(events: DataFrame, max_gap: int | None = None, least: int = 1, p
     by = ["kind", "entity", "pos"]
     placed = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
     chunks = placed.sortWithinPartitions(*by, F.col("event").asc_nulls_last()).mapInArrow(_chunk_runs(max_gap, least), _EDGE_SCHEMA)
-    home = F.when(F.col("edge") > 0, F.lit(-1)).otherwise(F.col("part"))
-    return chunks.repartition(home).mapInArrow(_stitch(max_gap, least), RUN_SCHEMA)
+    rows = written(chunks, "runs")
+    inner = rows.filter("edge = 0").drop("part", "edge")
+    # two rows a partition are left to stitch
+    return inner.unionByName(rows.filter("edge > 0").repartition(1).mapInArrow(_stitch(max_gap, least), RUN_SCHEMA))
 
 
 __all__ = ["sorted_runs", "RUN_SCHEMA"]
