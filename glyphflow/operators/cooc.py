@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import jaccard
 from ..sequences import TOKENS_SQL, all_tokens, r6
+from ..skew import one_task, skew_join
 from ..tables import table
 
 
@@ -105,7 +106,7 @@ def greedy_clusters(cooc: DataFrame, least: int = 2, similar: float = 0.15) -> D
     diag = cooc.filter("a = b")
     side = lambda x: diag.select(F.col("a").alias(x), F.col("n").alias(f"n_{x}"))
     scored = cooc.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.col("n").cast("long").alias("n"), jaccard(F.col("n"), F.col("n_a"), F.col("n_b")).alias("j"))
-    return scored.coalesce(1).mapInPandas(run, "symbol string, cluster string")
+    return one_task(scored, 5_000_000, "greedy clusters").mapInPandas(run, "symbol string, cluster string")
 
 
 def _words(s, d):
@@ -117,8 +118,6 @@ def _words(s, d):
 
 def _tokens_with_site(s, d):
     ins = table(s, d, "inscriptions").groupBy(F.col("id").alias("seq_id")).agg(F.min("findspot_id").alias("findspot_id"), F.min(F.regexp_extract("minoan_period", "^([A-Z]{2})", 1)).alias("period"))
-    from ..skew import skew_join
-
     return skew_join(all_tokens(s, d).filter("kind = 'logogram'"), ins, ["seq_id"], "inner")
 
 
@@ -128,7 +127,6 @@ QUERIES = {
     "cooc_association": lambda s, d: association(cooccurrence(all_tokens(s, d))),
     "cooc_summary": lambda s, d: matrix_summary(cooccurrence(all_tokens(s, d))),
     "cooc_edges": lambda s, d: edge_list(association(cooccurrence(all_tokens(s, d))), "pmi_pair_total", 0.5),
-    "crosstab_site": lambda s, d: crosstab(_tokens_with_site(s, d), "symbol", "findspot_id", [1, 2, 3, 4, 5]),
     "crosstab_all_sites": lambda s, d: _tokens_with_site(s, d).groupBy("symbol", "findspot_id").agg(F.count("*").alias("n")),
     "crosstab_period": lambda s, d: crosstab(_tokens_with_site(s, d), "symbol", "period", ["EM", "MM", "LM"]),
     "fraction_logogram_pairs": lambda s, d: kind_pairs(all_tokens(s, d), "fraction", "logogram"),
@@ -157,7 +155,6 @@ tw AS (SELECT tok.*, concat_ws('/', seq_id, word) AS unit FROM tok JOIN w USING
     + _cooc()
     + "SELECT count(*) FILTER (a = b) AS symbols, count(*) AS non_zero, CAST(count(*) FILTER (a = b) * (count(*) FILTER (a = b) + 1) / 2 AS BIGINT) AS possible, round(count(*) / (count(*) FILTER (a = b) * (count(*) FILTER (a = b) + 1) / 2), 6) AS density, CAST(sum(n) AS BIGINT) AS total FROM co",
     "cooc_edges": TOKENS_SQL + _cooc() + _ASSOC + "SELECT a, b, pmi_pair_total AS weight FROM asc_ WHERE pmi_pair_total >= 0.5",
-    "crosstab_site": TOKENS_SQL + _SITE + "SELECT symbol, " + ", ".join(f"count(*) FILTER (findspot_id = {i + 1}) AS c_{i}" for i in range(5)) + ", count(*) AS total FROM lg GROUP BY symbol",
     "crosstab_all_sites": TOKENS_SQL + _SITE + "SELECT symbol, findspot_id, count(*) AS n FROM lg GROUP BY ALL",
     "crosstab_period": TOKENS_SQL + _SITE + "SELECT symbol, " + ", ".join(f"count(*) FILTER (period = '{p}') AS c_{i}" for i, p in enumerate(("EM", "MM", "LM"))) + ", count(*) AS total FROM lg GROUP BY symbol",
     "fraction_logogram_pairs": TOKENS_SQL

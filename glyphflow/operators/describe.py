@@ -8,12 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sequences import TOKENS_SQL, all_tokens, grams, r6
+from ..skew import bounded
 from ..tables import table
 
 
-def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Count, mean, population deviation, extremes and linear quartiles of a value per group."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+def describe(df: DataFrame, by: list[str], value: str, accuracy: int | None = None) -> DataFrame:
+    """Count, mean, population deviation, extremes and linear quartiles of a value per group.
+
+    Exact quartiles hold a group's distinct values in one place; with ``accuracy``
+    they come from a sketch of that size, off by at most count / accuracy ranks.
+    """
+    at = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    q = F.percentile(value, at) if accuracy is None else F.percentile_approx(value, [0.25, 0.5, 0.75], accuracy)
     out = df.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), q.alias("q"))
     return out.select(*by, "count", r6("mean").alias("mean"), r6("std").alias("std"), r6("min").alias("min"), r6("max").alias("max"), *(r6(F.col("q")[i]).alias(f"p{p}") for i, p in enumerate((25, 50, 75))))
 
@@ -40,15 +46,20 @@ def envelope(df: DataFrame, stats: DataFrame, by: list[str], value: str) -> Data
 def candidate_grid(symbols: DataFrame, grid: DataFrame, evidence: DataFrame, most: float) -> DataFrame:
     """Cells (cls, grp) of a grid that a symbol may stand in: those whose mean is within ``most`` of its own.
 
-    ``symbols(symbol, own)``, ``grid(cls, grp)``, ``evidence(cls, grp, mean)``. The
-    grid is the alphabet of classes, so each symbol meets every cell once; a symbol
-    with no cell left keeps all.
+    ``symbols(symbol, own)``, ``grid(cls, grp)``, ``evidence(cls, grp, mean)``.
+    Values fall into bins of width ``most`` and a symbol meets the cells of three
+    bins; cells without evidence are open to every symbol, and a symbol with no
+    cell left keeps all: those rows are the result itself.
     """
     cells = grid.join(evidence, ["cls", "grp"], "left")
-    all_cells = symbols.crossJoin(F.broadcast(cells))
-    kept = all_cells.filter(F.col("mean").isNull() | (F.abs(F.col("own") - F.col("mean")) <= most)).select("symbol", "cls", "grp")
-    empty = symbols.join(kept, "symbol", "left_anti").crossJoin(F.broadcast(grid)).select("symbol", "cls", "grp")
-    return kept.unionByName(empty)
+    bin_of = lambda c: F.floor(F.col(c) / most)
+    mine = symbols.withColumn("bin", F.explode(F.array(*(bin_of("own") + i for i in (-1, 0, 1)))))
+    near = mine.join(cells.filter("mean is not null").withColumn("bin", bin_of("mean")), "bin").filter(F.abs(F.col("own") - F.col("mean")) <= most)
+    unknown = cells.filter("mean is null").select("cls", "grp", F.lit(1).alias("any"))
+    free = symbols.withColumn("any", F.lit(1)).join(bounded(unknown), "any")
+    kept = near.select("symbol", "cls", "grp").unionByName(free.select("symbol", "cls", "grp"))
+    empty = symbols.join(kept.select("symbol").distinct(), "symbol", "left_anti").withColumn("any", F.lit(1))
+    return kept.unionByName(empty.join(bounded(grid.withColumn("any", F.lit(1))), "any").select("symbol", "cls", "grp"))
 
 
 def unit_draw(*parts: Column | str) -> Column:
@@ -75,7 +86,7 @@ def permutation_test(tokens: DataFrame, queries: DataFrame, n: int, reps: int =
     spark = tokens.sparkSession
     draws = spark.range(reps * k * n).select((F.col("id") / (k * n)).cast("long").alias("rep"), (F.col("id") / n % k).cast("long").alias("q"), (F.col("id") % n).alias("i"))
     draws = draws.withColumn("u", unit_draw(F.lit(str(seed)), "rep", "q", "i"))
-    drawn = draws.join(F.broadcast(cum), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
+    drawn = draws.join(bounded(cum), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
     made = drawn.groupBy("rep", "q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "symbol"))), lambda x: x["symbol"]), "-").alias("gram"))
     hits = made.join(seen, "gram", "left_semi").groupBy("rep").agg(F.count("*").alias("hits"))
     every = spark.range(reps).select(F.col("id").alias("rep")).join(hits, "rep", "left").select(F.coalesce("hits", F.lit(0)).alias("hits"))

@@ -37,7 +37,7 @@ def _json(s, d):
 
 def _edges(s, d):
     path = table_path(s, "edges")
-    Wr.edges_csv(cooccurrence(all_tokens(s, d)).filter("a < b and n >= 10"), path)
+    Wr.edges_csv(cooccurrence(all_tokens(s, d)).filter("a < b"), path)
     return R.csv_table(s, path, T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("n", T.LongType())]))
 
 
@@ -46,5 +46,5 @@ SQL = {
     "roundtrip_tei": TOKENS_SQL + "SELECT seq_id, pos AS sequence, symbol AS code, kind, translit AS transliteration FROM tok",
     "roundtrip_text": TOKENS_SQL + "SELECT translit AS word, count(*) AS n FROM syl GROUP BY translit",
     "roundtrip_json": TOKENS_SQL + "SELECT 'urn:' || seq_id AS urn, seq_id AS id, string_agg(symbol, ' ' ORDER BY pos) AS text FROM tok GROUP BY seq_id",
-    "roundtrip_edges": TOKENS_SQL + _cooc() + "SELECT a, b, n FROM co WHERE a < b AND n >= 10",
+    "roundtrip_edges": TOKENS_SQL + _cooc() + "SELECT a, b, n FROM co WHERE a < b",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import cv_label, fraction_value, onset, vowel, weighted_levenshtein
 from ..scratch import written
 from ..sequences import TOKENS_SQL, all_tokens, grams, neighbours, r6, syllables
+from ..skew import bounded, one_task
 from ..tables import table
 from .cooc import cooccurrence
 from .describe import unit_draw
@@ -73,7 +74,7 @@ def propose_fractions(known: DataFrame, pairs: DataFrame) -> DataFrame:
 
     rows = known.select(F.col("symbol").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("long").alias("n"), F.col("value").cast("double").alias("value"))
     rows = rows.unionByName(pairs.select("a", "b", F.col("n").cast("long").alias("n"), F.lit(None).cast("double").alias("value")))
-    return rows.coalesce(1).mapInPandas(run, "symbol string, value double, how string")
+    return one_task(rows, 1_000_000, "fraction proposals").mapInPandas(run, "symbol string, value double, how string")
 
 
 def rollup_matches(matches: DataFrame) -> DataFrame:
@@ -105,7 +106,7 @@ def term_test(terms: DataFrame, substitutes: DataFrame) -> DataFrame:
     ``terms(term, canonical, attested)``; ``substitutes(symbol, value)`` replaces
     syllables of the canonical form.
     """
-    each = terms.select("term", "canonical", "attested", F.posexplode(F.split("canonical", "-")).alias("i", "symbol")).join(F.broadcast(substitutes), "symbol", "left")
+    each = terms.select("term", "canonical", "attested", F.posexplode(F.split("canonical", "-")).alias("i", "symbol")).join(bounded(substitutes), "symbol", "left")
     spelt = each.groupBy("term", "canonical", "attested").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("value", "symbol").alias("v")))).alias("s"))
     rows = spelt.select("term", "canonical", "attested", F.array_join(F.transform("s", lambda x: x["v"]), "-").alias("substituted"))
     a, b = (F.bround(weighted_levenshtein(F.col(c), F.col("attested"))).cast("int") for c in ("canonical", "substituted"))
@@ -114,7 +115,7 @@ def term_test(terms: DataFrame, substitutes: DataFrame) -> DataFrame:
 
 def before_after(tokens: DataFrame, relabel: DataFrame) -> DataFrame:
     """Consistency of a corpus under its own values and under new ones (``relabel(symbol, value)``): share of CV syllables, bigram entropy, types."""
-    rows = tokens.join(F.broadcast(relabel), "symbol", "left").withColumn("after", F.coalesce("value", "translit"))
+    rows = tokens.join(bounded(relabel), "symbol", "left").withColumn("after", F.coalesce("value", "translit"))
 
     def metrics(c, name):
         cv = F.avg(cv_label(F.col(c)).isin("V", "CV").cast("double"))
@@ -128,7 +129,7 @@ def before_after(tokens: DataFrame, relabel: DataFrame) -> DataFrame:
 
 def completion_score(tokens: DataFrame, values: DataFrame, hide: float = 0.2, seed: int = 1) -> DataFrame:
     """How well values (``symbol, value``) order a corpus: entropy of final vowels, held-out surprise of consonant steps, share of the top 3 beginnings."""
-    rows = tokens.join(F.broadcast(values), "symbol").withColumns({"c": onset(F.col("value")), "v": F.coalesce(vowel(F.col("value")), F.lit("-"))})
+    rows = tokens.join(bounded(values), "symbol").withColumns({"c": onset(F.col("value")), "v": F.coalesce(vowel(F.col("value")), F.lit("-"))})
     step = neighbours(rows, 0, 1, ["c"])
     ends = step.filter("c_p1 is null").groupBy("v").agg(F.count("*").alias("n")).agg(r6(F.log2(F.sum("n").cast("double")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("final_entropy"))
     flagged = step.filter("c_p1 is not null").withColumn("held", unit_draw(F.lit(str(seed)), F.col("seq_id")) < hide)
@@ -188,7 +189,7 @@ def random_completion(open_symbols: DataFrame, candidates: DataFrame, scored: Co
     """
     n = candidates.count()
     t = open_symbols.sparkSession.range(tries).select(F.col("id").alias("try"))
-    drawn = open_symbols.crossJoin(t).withColumn("idx", F.floor(unit_draw(F.lit(str(seed)), "try", "symbol") * n)).join(F.broadcast(candidates), "idx")
+    drawn = open_symbols.crossJoin(t).withColumn("idx", F.floor(unit_draw(F.lit(str(seed)), "try", "symbol") * n)).join(bounded(candidates), "idx")
     rows = drawn.withColumn("score", scored)
     best = rows.groupBy("try").agg(F.sum("score").alias("total")).orderBy(F.desc("total"), "try").limit(top)
     votes = rows.join(F.broadcast(best.select("try")), "try").groupBy("symbol", "candidate").agg(F.count("*").alias("votes"))
@@ -196,7 +197,7 @@ def random_completion(open_symbols: DataFrame, candidates: DataFrame, scored: Co
 
 
 def _vlinks(s, d):
-    return frame_links(syllables(s, d), 20).filter("side = 'V'")
+    return frame_links(syllables(s, d)).filter("side = 'V'")
 
 
 def _both(s, d):
@@ -255,7 +256,7 @@ from .matching import _LINKS, _WIN  # noqa: E402
 SQL = {
     "link_cohesion": TOKENS_SQL
     + _LINKS
-    + """, li AS (SELECT DISTINCT a, b FROM lk WHERE side = 'V' AND shared >= 20), pr AS (SELECT least(symbol, nx) AS a, greatest(symbol, nx) AS b, count(*) AS n FROM (SELECT symbol, lead(symbol) OVER (PARTITION BY seq_id ORDER BY pos) AS nx FROM syl) WHERE nx IS NOT NULL AND symbol <> nx GROUP BY ALL),
+    + """, li AS (SELECT DISTINCT a, b FROM lk WHERE side = 'V' AND shared >= 3), pr AS (SELECT least(symbol, nx) AS a, greatest(symbol, nx) AS b, count(*) AS n FROM (SELECT symbol, lead(symbol) OVER (PARTITION BY seq_id ORDER BY pos) AS nx FROM syl) WHERE nx IS NOT NULL AND symbol <> nx GROUP BY ALL),
 o AS (SELECT symbol, count(*) AS c FROM syl GROUP BY symbol), w AS (SELECT coalesce(sum(x.c * y.c * 2), 0) AS w FROM li JOIN o x ON x.symbol = a JOIN o y ON y.symbol = b), t AS (SELECT sum(c) AS t, sum(c * c) AS t2 FROM o),
 sn AS (SELECT sum(n) AS pairs, coalesce(sum(n) FILTER ((a, b) IN (SELECT (a, b) FROM li)), 0) AS linked FROM pr)
 SELECT CAST(pairs AS BIGINT) AS pairs, CAST(linked AS BIGINT) AS linked, round(linked / pairs, 6) AS observed, round(w / (t * t - t2), 6) AS expected FROM sn, w, t""",

@@ -2,36 +2,56 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sequences import TOKENS_SQL, grams, neighbours, syllables
+from ..skew import bounded
 from ..tables import table
 from .words import _types
 
 
 def exact_match(gram_table: DataFrame, queries: DataFrame) -> DataFrame:
     """Every place of each query gram (``query_id, gram``)."""
-    return gram_table.join(F.broadcast(queries) if queries.count() <= 50_000 else queries, "gram")
+    return gram_table.join(bounded(queries, 50_000), "gram")
 
 
-def one_edit_pairs(words: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``word, pattern, distance`` with a distance of at most one token.
+def _edit_keys(column: str, pattern: bool) -> Column:
+    """What a word must share with a pattern to be at most one token away, as an array of keys.
 
-    Both sides explode to themselves and what one deletion leaves; equal leftovers
-    meet by an equi-join and are verified, so no side is compared with all of the
-    other. ``words(word)`` and ``patterns(pattern)`` are dash-joined tokens.
+    ``=`` itself; per place what is left without it (a token replaced); ``-`` the
+    word without one token, which is a pattern (a token too many), and ``+`` the word
+    itself, which is a pattern without one. Two words share at most one key, save
+    that equal ones share their places too.
     """
+    p = F.split(column, "-")
+    n = F.size(p)
+    without = lambda i: F.array_join(F.concat(F.slice(p, F.lit(1), i - 1), F.slice(p, i + 1, n)), "-")
+    places = F.sequence(F.lit(1), n)
+    mark = lambda m, c: F.concat(F.lit(m), c)
+    dropped = F.array_distinct(F.transform(places, without))
+    whole, shorter = ("-", "+") if pattern else ("+", "-")
+    replaced = F.transform(places, lambda i: F.concat_ws("|", n.cast("string"), i.cast("string"), without(i)))
+    return F.concat(F.array(mark("=", F.col(column)), mark(whole, F.col(column))), F.transform(dropped, lambda c: mark(shorter, c)), replaced)
+
+
+def _within_one(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Rows (with ``word``) and patterns at most one token apart, once per pair, by one equi-join on shared keys."""
+    keyed = rows.withColumn("key", F.explode(_edit_keys("word", False)))
+    wanted = patterns.select("pattern", F.explode(_edit_keys("pattern", True)).alias("key"))
+    same = F.startswith("key", F.lit("="))
+    met = keyed.join(bounded(wanted), "key").filter(same | (F.col("word") != F.col("pattern")))
+    return met.withColumn("distance", F.when(same, 0).otherwise(1)).drop("key")
 
-    def left_over(df, c):
-        p = F.split(c, "-")
-        drop = F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.concat(F.slice(p, F.lit(1), i - 1), F.slice(p, i + 1, F.size(p))))
-        return df.select(c, F.explode(F.array_distinct(F.concat(F.array(p), drop))).alias("key"))
 
-    met = left_over(words.distinct(), "word").join(left_over(patterns.distinct(), "pattern"), "key").select("word", "pattern").distinct()
-    return met.withColumn("distance", token_levenshtein("word", "pattern")).filter("distance <= 1")
+def one_edit_pairs(words: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``word, pattern, distance`` with a distance of at most one token.
+
+    ``words(word)`` and ``patterns(pattern)`` are dash-joined tokens. Both sides
+    explode to what they share with a neighbour and meet there, so no side is
+    compared with all of the other and a key's pairs are the result itself.
+    """
+    return _within_one(words.select("word").filter("word is not null").distinct(), patterns.select("pattern").filter("pattern is not null").distinct()).select("word", "pattern", "distance")
 
 
 def token_levenshtein(a: str, b: str):
@@ -43,12 +63,27 @@ def token_levenshtein(a: str, b: str):
 
 
 def window_levenshtein(tokens: DataFrame, patterns: DataFrame, most: int = 1) -> DataFrame:
-    """Windows of a pattern's length give or take one token within ``most`` edits (``patterns(pattern)``: a stated short list)."""
+    """Windows of a pattern's length give or take one token within ``most`` edits.
+
+    ``patterns(pattern)``: a stated list. Up to one edit windows and patterns meet by
+    the keys they share (:func:`one_edit_pairs`), without a shuffle while the keys of
+    the patterns are few; beyond, distinct windows are measured against each pattern.
+    """
+    patterns = patterns.select("pattern").filter("pattern is not null").distinct()
     sizes = sorted({n for r in patterns.select(F.size(F.split("pattern", "-")).alias("n")).distinct().collect() for n in (r.n - 1, r.n, r.n + 1) if n > 0})
-    sets = [grams(tokens, n, "translit").select("seq_id", "pos", F.lit(n).alias("size"), F.concat_ws("-", "gram").alias("word")) for n in sizes]
-    windows = reduce(DataFrame.unionByName, sets)
-    near = windows.join(F.broadcast(patterns.withColumn("m", F.size(F.split("pattern", "-")))), F.abs(F.col("size") - F.col("m")) <= 1)
-    return near.withColumn("distance", token_levenshtein("word", "pattern")).filter(F.col("distance") <= most).select("seq_id", "pos", "word", "pattern", "distance")
+    if not sizes:
+        sizes = [1]
+    rows = neighbours(tokens, 0, sizes[-1] - 1, ["translit"])
+    part = lambda k: F.col("translit" if k == 0 else f"translit_p{k}")
+    words = F.array(*(F.when(part(n - 1).isNotNull(), F.concat_ws("-", *map(part, range(n)))) for n in sizes))
+    windows = rows.select("seq_id", "pos", F.explode(words).alias("word")).filter("word is not null")
+    if most <= 1:
+        out = _within_one(windows, patterns).filter(F.col("distance") <= most)
+    else:
+        near = F.abs(F.size(F.split("word", "-")) - F.size(F.split("pattern", "-"))) <= 1
+        pairs = windows.select("word").distinct().join(bounded(patterns), near).withColumn("distance", token_levenshtein("word", "pattern"))
+        out = windows.join(pairs.filter(F.col("distance") <= most), "word")
+    return out.select("seq_id", "pos", "word", "pattern", "distance")
 
 
 def best_per_group(matches: DataFrame, group: str) -> DataFrame:
@@ -155,7 +190,7 @@ def _subs(s, d):
 
 QUERIES = {
     "exact_gram_match": lambda s, d: exact_match(grams(syllables(s, d), 2, "translit").select("seq_id", "pos", F.concat_ws("-", "gram").alias("gram")), _pat(s).withColumnRenamed("pattern", "gram")),
-    "edit1_gram_match": lambda s, d: one_edit_pairs(_types(s, d).filter("n_signs >= 2").select("word"), _types(s, d).filter("n_signs >= 2 and n >= 2").select(F.col("word").alias("pattern"))),
+    "edit1_gram_match": lambda s, d: one_edit_pairs(_types(s, d).filter("n_signs >= 2").select("word"), _types(s, d).filter("n_signs >= 2").select(F.col("word").alias("pattern"))),
     "window_levenshtein": lambda s, d: window_levenshtein(syllables(s, d), _pat(s)),
     "best_per_group": lambda s, d: best_per_group(window_levenshtein(syllables(s, d), _pat(s)), "seq_id"),
     "match_scores": lambda s, d: best_per_group(window_levenshtein(syllables(s, d), _pat(s)), "seq_id").select("seq_id", match_score(F.size(F.split("word", "-")), F.col("distance"), ~F.col("ambiguous")).alias("score"), confidence_band(F.col("distance"), F.size(F.split("word", "-"))).alias("band")),
@@ -163,7 +198,7 @@ QUERIES = {
     "hamming1_substitutions": lambda s, d: hamming_one(grams(syllables(s, d), 3), 3),
     "substitution_kinds": _subs,
     "frame_links": lambda s, d: frame_links(syllables(s, d)),
-    "frame_triangles": lambda s, d: triangles(frame_links(syllables(s, d), 25)),
+    "frame_triangles": lambda s, d: triangles(frame_links(syllables(s, d))),
     "successor_dense": lambda s, d: successors(syllables(s, d), True),
     "successor_raw": lambda s, d: successors(syllables(s, d), False),
     "suffix_coverage": lambda s, d: suffix_coverage(_types(s, d), ["re", "ja", "me", "na", "ti-re"]),
@@ -205,7 +240,7 @@ _VO = "nullif(regexp_extract(lower({0}), '([aeiou])', 1), '')"
 SQL = {
     "exact_gram_match": TOKENS_SQL + f", ws AS ({_gram(2, 'translit', '-')}) SELECT seq_id, pos, word AS gram FROM ws WHERE word IN ({', '.join(repr(p) for p in _PATTERNS)})",
     "edit1_gram_match": _WT
-    + f", a AS (SELECT DISTINCT word, string_split(word, '-') AS x FROM ty WHERE n_signs >= 2), b AS (SELECT DISTINCT word AS pattern, string_split(word, '-') AS y FROM ty WHERE n_signs >= 2 AND n >= 2), ab AS (SELECT * FROM a, b WHERE abs(len(x) - len(y)) <= 1), d AS (SELECT word, pattern, {_lev('x', 'y')} AS distance FROM ab) SELECT word, pattern, distance FROM d WHERE distance <= 1",
+    + f", a AS (SELECT DISTINCT word, string_split(word, '-') AS x FROM ty WHERE n_signs >= 2), b AS (SELECT DISTINCT word AS pattern, string_split(word, '-') AS y FROM ty WHERE n_signs >= 2), ab AS (SELECT * FROM a, b WHERE abs(len(x) - len(y)) <= 1), d AS (SELECT word, pattern, {_lev('x', 'y')} AS distance FROM ab) SELECT word, pattern, distance FROM d WHERE distance <= 1",
     "window_levenshtein": _WIN + "SELECT seq_id, pos, word, pattern, distance FROM hit",
     "best_per_group": _WIN + _BEST + "SELECT seq_id, word, pattern, distance, ambiguous FROM best",
     "match_scores": _WIN
@@ -222,7 +257,7 @@ count(*) AS frames, CAST(sum(support) AS BIGINT) AS support FROM v GROUP BY ALL"
     "frame_links": TOKENS_SQL + _LINKS + "SELECT * FROM lk WHERE shared >= 3",
     "frame_triangles": TOKENS_SQL
     + _LINKS
-    + """, k AS (SELECT a, b, side FROM lk WHERE shared >= 25 UNION ALL SELECT b, a, side FROM lk WHERE shared >= 25), e AS (SELECT DISTINCT a, b FROM k)
+    + """, k AS (SELECT a, b, side FROM lk WHERE shared >= 3 UNION ALL SELECT b, a, side FROM lk WHERE shared >= 3), e AS (SELECT DISTINCT a, b FROM k)
 SELECT DISTINCT array_to_string(list_sort([c.a, c.b, v.b]), ' ~ ') AS triple FROM k c JOIN k v ON c.b = v.a AND c.side = 'C' AND v.side = 'V' JOIN e ON e.a = c.a AND e.b = v.b WHERE c.a <> v.b""",
     "successor_dense": TOKENS_SQL + _SUCC.format(""),
     "successor_raw": TOKENS_SQL + _SUCC.format("AND rp = raw_pos + 1"),

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..ranks import numbered
 from ..sequences import TOKENS_SQL, all_tokens, r6
+from ..skew import bounded
 from ..tables import table
 
 #: Queries of one broadcast block: 4096 vectors of 64 floats are 1 MB.
@@ -83,7 +85,7 @@ def class_similarity(vectors: DataFrame) -> DataFrame:
     per = unit.groupBy("label", "i").agg(F.sum("v").alias("s"))
     sizes = unit.filter("i = 0").groupBy("label").agg(F.count("*").alias("n"))
     every = per.groupBy("i").agg(F.sum("s").alias("a"))
-    own = per.join(F.broadcast(every), "i").groupBy("label").agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum(F.col("s") * F.col("a")).alias("sa"))
+    own = per.join(bounded(every), "i").groupBy("label").agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum(F.col("s") * F.col("a")).alias("sa"))
     total = sizes.agg(F.sum("n").alias("t"))
     rows = own.join(sizes, "label").crossJoin(F.broadcast(total))
     return rows.select("label", "n", F.round(F.try_divide(F.col("ss") - F.col("n"), F.col("n") * (F.col("n") - 1)), 5).alias("intra"), F.round(F.try_divide(F.col("sa") - F.col("ss"), F.col("n") * (F.col("t") - F.col("n"))), 5).alias("inter"))
@@ -91,12 +93,12 @@ def class_similarity(vectors: DataFrame) -> DataFrame:
 
 def vocabulary(tokens: DataFrame, first: int = 4) -> DataFrame:
     """Codes of symbols in order, after ``first`` reserved ones."""
-    return tokens.select("symbol").distinct().select("symbol", (F.row_number().over(W.orderBy("symbol")) + first - 1).alias("code"))
+    return numbered(tokens.select("symbol").distinct(), ["symbol"], "code", first)
 
 
 def padded(tokens: DataFrame, codes: DataFrame, length: int = 32) -> DataFrame:
     """Sequences as arrays of ``length`` codes: longer ones cut into pieces, shorter ones padded with 0."""
-    coded = tokens.join(F.broadcast(codes), "symbol")
+    coded = tokens.join(bounded(codes), "symbol").withColumn("code", F.col("code").cast("int"))
     piece = coded.groupBy("seq_id", F.floor(F.col("pos") / length).alias("piece")).agg(F.array_sort(F.collect_list(F.struct("pos", "code"))).alias("s"))
     ids = F.transform("s", lambda x: x["code"])
     return piece.select("seq_id", "piece", F.concat(ids, F.array_repeat(F.lit(0), length - F.size(ids))).alias("codes"), F.size("s").alias("used"))

@@ -5,17 +5,18 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import entropy_of
+from ..ranks import numbered
 from ..sequences import TOKENS_SQL, all_tokens, grams, neighbours, r6, syllables
+from ..skew import bounded
+
 
 def _joined():
     return F.concat_ws(" ", "gram").alias("gram")
 
 
-
 def ngram_counts(tokens: DataFrame, most: int) -> DataFrame:
     """``n, gram, count, probability`` for n = 1..most; probability is the share among grams of that n."""
     sets = [grams(tokens, n).select(F.lit(n).alias("n"), _joined()) for n in range(1, most + 1)]
@@ -84,18 +85,17 @@ def smoothed(tokens: DataFrame, k: float = 1.0) -> DataFrame:
 def lexical_stats(tokens: DataFrame) -> DataFrame:
     """Size, richness and concentration of a corpus in one row."""
     one = tokens.groupBy("symbol").agg(F.count("*").alias("n"))
-    n, r = F.col("n"), F.col("r")
-    # the vocabulary is ranked, not the rows
-    ranked = one.withColumn("r", F.row_number().over(W.orderBy(F.desc("n"), "symbol")))
-    stats = ranked.agg(
+    n = F.col("n")
+    top5 = one.orderBy(F.desc("n"), "symbol").limit(5).agg(F.sum("n").alias("top5"))
+    stats = one.agg(
         F.sum("n").alias("tokens"), F.count("*").alias("types"), F.sum(n * (n - 1)).alias("nn"), F.sum(n * F.log2("n")).alias("s"),
-        F.count_if(n == 1).alias("hapax"), F.count_if(n == 2).alias("dis"), F.max(F.when(r == 1, n)).alias("top1"), F.sum(F.when(r <= 5, n)).alias("top5"),
-        F.max("n").alias("fmax"), F.min_by("n", -r).alias("flast"),
+        F.count_if(n == 1).alias("hapax"), F.count_if(n == 2).alias("dis"), F.max("n").alias("top1"),
+        F.max("n").alias("fmax"), F.min("n").alias("flast"),
     )
     size = tokens.groupBy("seq_id").agg(F.count("*").alias("len")).agg(F.avg("len").alias("mean_len"), F.min("len").alias("min_len"), F.max("len").alias("max_len"))
     t = F.col("tokens")
     h = F.log2(t.cast("double")) - F.col("s") / t
-    return stats.crossJoin(size).filter("tokens > 0").select(
+    return stats.crossJoin(size).crossJoin(top5).filter("tokens > 0").select(
         "tokens", "types", r6(F.col("types") / t).alias("ttr"), r6(F.try_divide(F.col("nn"), t * (t - 1))).alias("repeat_rate"), r6(h).alias("entropy"),
         r6(F.try_divide(h, F.log2(F.col("types").cast("double")))).alias("normalised_entropy"), "hapax", "dis", r6("mean_len").alias("mean_len"), "min_len", "max_len",
         r6(F.col("top1") / t).alias("top1_share"), r6(F.col("top5") / t).alias("top5_share"),
@@ -106,8 +106,7 @@ def lexical_stats(tokens: DataFrame) -> DataFrame:
 def zipf_fit(tokens: DataFrame) -> DataFrame:
     """Least squares of ln frequency on ln rank."""
     one = tokens.groupBy("symbol").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(W.orderBy(F.desc("n"), "symbol"))
-    xy = one.select(F.ln(rank.cast("double")).alias("x"), F.ln("n").alias("y"))
+    xy = numbered(one, [F.desc("n"), F.col("symbol")], start=1).select(F.ln(F.col("rank").cast("double")).alias("x"), F.ln("n").alias("y"))
     return xy.agg(F.round(F.regr_slope("y", "x"), 5).alias("slope"), F.round(F.regr_r2("y", "x"), 5).alias("r2"), F.count("*").alias("types"))
 
 
@@ -129,7 +128,7 @@ def recurring_grams(tokens: DataFrame, n: int, least: int = 2) -> DataFrame:
 def part_presence(tokens: DataFrame, parts: DataFrame, least: int = 2) -> DataFrame:
     """``parts(part, gram array<string>)`` of one length each; sequences with at least ``least`` different parts."""
     sizes = [r[0] for r in parts.select(F.size("gram")).distinct().collect()]  # lengths of a pattern list
-    hits = [grams(tokens, n).join(F.broadcast(parts.filter(F.size("gram") == n)), "gram").select("seq_id", "part").distinct() for n in sizes]
+    hits = [grams(tokens, n).join(bounded(parts.filter(F.size("gram") == n)), "gram").select("seq_id", "part").distinct() for n in sizes]
     return reduce(DataFrame.unionByName, hits).groupBy("seq_id").agg(F.count_distinct("part").alias("n_parts")).filter(F.col("n_parts") >= least)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import euclidean, kl_divergence
 from ..sequences import TOKENS_SQL, all_tokens, lengths, neighbours, r6, syllables
-from ..skew import skew_join
+from ..skew import one_task, skew_join
 from ..tables import table
 
 
@@ -109,8 +109,8 @@ def kmeans(tokens: DataFrame, k: int, seed: int = 42, rounds: int = 100) -> Data
         names = np.where(c.max(1) > 0.4, np.array(["initial", "medial", "final"])[best], "flexible")
         yield pd.DataFrame({"symbol": df.symbol, "cluster": own.astype("int32"), "label": names[own], "distance": np.sqrt(((x - c[own]) ** 2).sum(1))})
 
-    small = fractions(tokens).select("symbol", "initial", "medial", "final").coalesce(1)
-    return small.mapInPandas(run, "symbol string, cluster int, label string, distance double")
+    small = fractions(tokens).select("symbol", "initial", "medial", "final")
+    return one_task(small, 1_000_000, "k-means").mapInPandas(run, "symbol string, cluster int, label string, distance double")
 
 
 def _classes(s, d):

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..ranks import numbered
 from ..scratch import written
 from ..sequences import TOKENS_SQL, dense, neighbours, r6, sign_tokens
 
@@ -26,16 +27,22 @@ def with_truth(tokens: DataFrame, divider) -> DataFrame:
 
 def index_pick(values: DataFrame, column: str, share: float) -> DataFrame:
     """``threshold``: the value at index int(n * share) in ascending order (values of types, not of tokens)."""
-    n = values.agg(F.count("*").alias("n"))
-    rank = F.row_number().over(W.orderBy(column)) - 1
-    ranked = values.select(F.col(column).alias("v"), rank.alias("i")).crossJoin(F.broadcast(n))
+    ranked = numbered(values.select(F.col(column).alias("v")), ["v"], "i")
+    n = ranked.agg(F.count("*").alias("n"))
+    ranked = ranked.crossJoin(F.broadcast(n))  # one row
     return ranked.filter(F.col("i") == F.least(F.floor(F.col("n") * share), F.col("n") - 1)).select(F.col("v").alias("threshold"))
 
 
-def by_bigram(tokens: DataFrame, least: int = 5, share: float = 0.25) -> DataFrame:
+def bigrams(tokens: DataFrame) -> DataFrame:
+    """``a, b, n``: how often b follows a. Two strategies read it several times, so it is written."""
+    step = neighbours(tokens, 0, 1, ["symbol"]).filter("symbol_p1 is not null")
+    return written(step.groupBy(F.col("symbol").alias("a"), F.col("symbol_p1").alias("b")).agg(F.count("*").alias("n")), "bigrams")
+
+
+def by_bigram(tokens: DataFrame, least: int = 5, share: float = 0.25, counts: DataFrame | None = None) -> DataFrame:
     """A boundary between neighbours of seldom transition: at or below the quartile of the frequent ones and under half of the second symbol's share."""
     step = neighbours(tokens, 0, 1, ["symbol"]).filter("symbol_p1 is not null").select("seq_id", "pos", F.col("symbol").alias("a"), F.col("symbol_p1").alias("b"))
-    c = step.groupBy("a", "b").agg(F.count("*").alias("n"))
+    c = bigrams(tokens) if counts is None else counts
     out = c.groupBy("a").agg(F.sum("n").alias("na"))
     into = c.groupBy("b").agg(F.sum("n").alias("nb"))
     total = c.agg(F.sum("n").alias("t"))
@@ -54,10 +61,10 @@ def by_position(tokens: DataFrame, ratio: float = 1 / 3, count: int = 2, total:
     return step.filter("symbol_p1 is not null").join(ends, "symbol", "left_semi").join(starts, "symbol_p1", "left_semi").select("seq_id", (F.col("pos") + 1).alias("pos"))
 
 
-def by_entropy(tokens: DataFrame, least: float = 0.5) -> DataFrame:
+def by_entropy(tokens: DataFrame, least: float = 0.5, counts: DataFrame | None = None) -> DataFrame:
     """A boundary where the choice to the right of one symbol and to the left of the next is both wide."""
     step = neighbours(tokens, 0, 1, ["symbol"]).filter("symbol_p1 is not null").select("seq_id", "pos", F.col("symbol").alias("a"), F.col("symbol_p1").alias("b"))
-    c = step.groupBy("a", "b").agg(F.count("*").alias("n"))
+    c = bigrams(tokens) if counts is None else counts
     h = lambda k: c.groupBy(k).agg(r6(F.log2(F.sum("n").cast("double")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias(f"h_{k}"))
     pairs = c.join(h("a"), "a").join(h("b"), "b").withColumn("h", F.least("h_a", "h_b"))
     mid = index_pick(pairs.select("h"), "h", 0.5)
@@ -114,13 +121,19 @@ def _tok(s, d):
     return written(with_truth(sign_tokens(s, d).filter("kind in ('syllabogram', 'word divider')"), F.col("kind") == "word divider"), "tokens")
 
 
+def _strategies(t):
+    c = bigrams(t)
+    return {"bigram": by_bigram(t, counts=c), "position": by_position(t, 0.1), "entropy": by_entropy(t, counts=c)}
+
+
 def _vote(t):
-    return vote([by_bigram(t), by_position(t, 0.1), by_entropy(t)])
+    return vote(list(_strategies(t).values()))
 
 
 def _scores(s, d):
     t = _tok(s, d)
-    named = {"bigram": by_bigram(t), "position": by_position(t, 0.1), "entropy": by_entropy(t), "vote": _vote(t)}
+    named = {k: written(b, k) for k, b in _strategies(t).items()}
+    named["vote"] = vote(list(named.values()))
     return reduce(DataFrame.unionByName, [score(t, b).withColumn("strategy", F.lit(k)) for k, b in named.items()])
 
 

@@ -1,12 +1,13 @@
 """Intermediate tables in the folder that all executors share.
 
-``spark.checkpoint.dir`` names that folder on a cluster. Only where it is unset
-(tests, one machine) a temporary folder of our own takes its place.
+``spark.checkpoint.dir`` names that folder on a cluster. Only on one machine
+(master ``local``), where it is unset, a temporary folder of our own takes its place.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -22,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="glyphflow-")
         atexit.register(shutil.rmtree, _OWN[app], True)

@@ -9,8 +9,28 @@ from pyspark.sql import functions as F
 HEAVY_ROWS, HEAVY_SHARE = 50_000, 1 / 500
 
 
+#: Up to this many rows a side is broadcast (counted first).
+BROADCAST_ROWS = 100_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if a count finds at most ``rows`` rows; beyond, as it is, for a shuffle join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def one_task(df: DataFrame, rows: int, what: str) -> DataFrame:
+    """``df`` in one partition, for steps that depend on their order; more than ``rows`` rows are refused."""
+    if df.limit(rows + 1).count() > rows:
+        raise ValueError(f"{what}: more than {rows} rows for one task")
+    return df.repartition(1)
+
+
 def heavy_keys(df: DataFrame, keys: list[str], rows: int = HEAVY_ROWS, share: float = HEAVY_SHARE) -> list:
-    """The heavy keys, at most ``1 / share`` of them: the count is combined map-side."""
+    """The heavy keys, at most ``1 / share`` of them: the count is combined map-side.
+
+    A table of fewer than ``rows`` rows can hold none and is not counted by key;
+    that changes the plan, never the result.
+    """
     total = df.count()
     if total < rows:
         return []

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sequences import dense
+from ..skew import bounded
+
 ENTRY = T.StructType(
     [
         T.StructField("words", T.ArrayType(T.StringType())),
@@ -49,17 +50,20 @@ def word_tokens(entries: DataFrame, symbols: DataFrame | None = None) -> DataFra
 
     Words alternate with ``|`` for a divider and line breaks, which end a word and
     a line but are no token. Every other character is a sign; ``symbols(character,
-    code)`` adds its code. A long list stays one row of its entry only until it is
-    exploded.
+    code)`` adds its code. A word list is one row of its file; its signs are placed
+    in chunks, so a long one spreads over tasks.
     """
     parts = entries.select("name", F.posexplode("words").alias("i", "w")).filter("w is not null")
     chars = parts.select("name", "i", "w", F.posexplode(F.regexp_extract_all("w", F.lit("(?s)(.)"), F.lit(1))).alias("j", "character"))
-    w = W.partitionBy("name").orderBy("i", "j")
-    line = F.sum((F.col("character") == "\n").cast("int")).over(w)
-    kept = chars.withColumn("line", line).filter("character not in ('\n', ' ')")
+    # a word has fewer than 2^20 signs; the line breaks before a sign end the lines before it
+    marks = chars.withColumn("raw_pos", F.shiftleft(F.col("i").cast("long"), 20) + F.col("j")).withColumnRenamed("name", "seq_id")
+    breaks = marks.groupBy("seq_id", "i").agg(F.count_if(F.col("character") == "\n").alias("n"))
+    before = breaks.select("seq_id", "i", (F.sum("n").over(W.partitionBy("seq_id").orderBy("i")) - F.col("n")).alias("before"))  # a row per word of a list
+    inside = F.size(F.filter(F.split(F.substring(F.col("w"), F.lit(1), F.col("j") + 1), ""), lambda c: c == "\n"))
+    kept = marks.join(before, ["seq_id", "i"]).withColumn("line", F.col("before") + inside).filter("character not in ('\n', ' ')")
     kind = F.when(F.col("character") == DIVIDER, "divider").otherwise("sign")
-    out = kept.select("name", (F.row_number().over(w) - 1).alias("pos"), "character", kind.alias("kind"), F.col("i").alias("word"), "line")
-    return out if symbols is None else out.join(F.broadcast(symbols), "character", "left")
+    out = dense(kept).select(F.col("seq_id").alias("name"), "pos", "character", kind.alias("kind"), F.col("i").alias("word"), "line")
+    return out if symbols is None else out.join(bounded(symbols), "character", "left")
 
 
 def script_json(spark: SparkSession, path: str, element: T.StructType = DOCUMENT) -> DataFrame:
@@ -120,7 +124,8 @@ def tei_field(text: Column, path: str) -> Column:
 
 def csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A CSV with header and stated schema; a missing file gives an empty table."""
-    if "://" not in path and not os.path.exists(path):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return spark.createDataFrame([], schema)
     return spark.read.csv(path, header=True, schema=schema)
 

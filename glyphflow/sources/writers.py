@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import xml_escape
+from ..ranks import numbered
+
+#: Columns of a dense matrix.
+MOST_COLUMNS = 10_000
 
 
 def matrix_csv(pairs: DataFrame, path: str, value: str = "n", fill: float = 0) -> None:
-    """A symmetric matrix from its upper triangle (``a, b, value``): a row and a column per symbol of the alphabet."""
+    """A symmetric matrix from its upper triangle (``a, b, value``): a row and a column per symbol; more than ``MOST_COLUMNS`` are refused."""
     both = pairs.select("a", "b", value).unionByName(pairs.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), value))
-    names = [r.a for r in both.select("a").distinct().orderBy("a").collect()]  # the alphabet: the columns of the file
+    names = [r.a for r in both.select("a").distinct().orderBy("a").limit(MOST_COLUMNS + 1).collect()]
+    if len(names) > MOST_COLUMNS:
+        raise ValueError(f"a matrix of more than {MOST_COLUMNS} columns: write its edges")
     both.groupBy("a").pivot("b", names).agg(F.first(value)).fillna(fill).orderBy("a").write.mode("overwrite").csv(path, header=True)
 
 
@@ -23,7 +28,7 @@ def edges_csv(edges: DataFrame, path: str) -> None:
 def gml(edges: DataFrame, path: str) -> None:
     """An undirected graph (``a, b, weight``) as one GML text per task, ids by order of the node names."""
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    ids = nodes.select("node", (F.row_number().over(W.orderBy("node")) - 1).alias("id"))
+    ids = numbered(nodes, ["node"], "id")
     of = lambda c: ids.select(F.col("node").alias(c), F.col("id").alias(f"id_{c}"))
     node_lines = ids.select(F.lit(1).alias("o"), "id", F.lit(0).alias("id2"), F.format_string('  node [ id %d label "%s" ]', "id", xml_escape(F.col("node"))).alias("value"))
     edge_lines = edges.join(of("a"), "a").join(of("b"), "b").select(F.lit(2).alias("o"), F.col("id_a").alias("id"), F.col("id_b").alias("id2"), F.format_string("  edge [ source %d target %d weight %s ]", "id_a", "id_b", F.col("weight").cast("string")).alias("value"))
