@@ -13,9 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..ranks import numbered
 from ..scratch import spread, written
 from ..tables import clean_code, table
 
@@ -31,7 +31,7 @@ _ARROW = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
 def item_codes(items: DataFrame) -> DataFrame:
     """``item, code``: codes 0.. in order of the non-null items (the vocabulary, not the rows)."""
     words = items.filter("item is not null").select("item").distinct()
-    return words.select("item", (F.row_number().over(W.orderBy("item")) - 1).cast("int").alias("code"))
+    return numbered(words, ["item"], "code").select("item", F.col("code").cast("int").alias("code"))
 
 
 def _sum_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +89,7 @@ def pair_counts(items: DataFrame) -> DataFrame:
     (1 - n_b/n) / (1 - n_ab/n_a), null where b always comes with a.
     """
     rows = items.filter("basket is not null and item is not null").select("basket", "item")
-    codes = written(item_codes(rows), "codes")
+    codes = item_codes(rows)
     coded = rows.join(F.broadcast(codes) if codes.count() <= BROADCAST_ITEMS else codes, "item")
     baskets = coded.groupBy("basket").agg(F.sort_array(F.collect_set("code")).alias("codes"))
     weights = written(baskets.groupBy("codes").agg(F.count("*").alias("weight")), "baskets")

@@ -8,6 +8,11 @@ in two records or more are then joined to stretches.
 
 Records are cut into chunks of a globally sorted order with a look-ahead of one
 window, so a record of any length spreads over many tasks.
+
+The sketch grows with the data, 8 cells per window. Up to ``WIDTHS[1]`` cells its
+bitmaps are broadcast. Beyond, they stay a table of blocks: windows travel as
+16 bytes to the block of their first cell, those that it calls repeated to the
+block of the next, and only what is left comes back to its chunk for its content.
 """
 
 from __future__ import annotations
@@ -18,15 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..ordered import sorted_runs
+from ..ranks import numbered
 from ..scratch import written
 from ..tables import clean_code, table
 
-#: Events of a chunk; rows of the sketch; its least and greatest width (cells, powers of two).
-#: At the greatest width its bitmaps take DEPTH * 2**28 / 8 = 64 MB, whatever the data.
+#: Events of a chunk; rows of the sketch; its least width and the greatest that is broadcast (cells, powers of two).
+#: At that width its bitmaps take DEPTH * 2**28 / 8 = 64 MB.
 CHUNK, DEPTH, WIDTHS = 8192, 2, (1 << 16, 1 << 28)
 #: Cells whose count reaches this are listed beside the bitmap; their windows are salted by it.
 HOT = 20_000
@@ -140,6 +145,15 @@ def _merger(block_cells, hot):
     return merge
 
 
+def _hot_cells(rows, blocks, block_cells):
+    """Cells and counts of the hot cells of each row of the sketch, in order."""
+    out = [[(np.empty(0, np.int64), np.empty(0, np.int64))] for _ in range(DEPTH)]
+    for m in sorted(rows, key=lambda m: m.block):
+        row, i = divmod(m.block, blocks)
+        out[row].append((np.frombuffer(bytes(m.hot), np.int32).astype(np.int64) + i * block_cells, np.frombuffer(bytes(m.hot_n), np.int64)))
+    return [tuple(np.concatenate(x) for x in zip(*h, strict=True)) for h in out]
+
+
 def _rows(b, ahead):
     for r in range(b.num_rows):
         a = ahead.get(b.column("part")[r].as_py()) if b.column("last")[r].as_py() else None
@@ -149,9 +163,61 @@ def _rows(b, ahead):
         yield cols
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Each row of an array as bytes, without a Python object per row."""
+    data = np.ascontiguousarray(rows)
+    offsets = np.arange(len(data) + 1, dtype=np.int32) * (data.shape[1] * data.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
+
+
+def _estimate(h, row, width, seen, hot_cells):
+    """Counts of the windows' cells in a row of the sketch: that of a hot cell, else 2 where ``seen`` says repeated, else 1."""
+    cell = _cells(h, row, width)
+    n = np.where(seen(cell), 2, 1).astype(np.int64)
+    cells, counts = hot_cells[row]
+    if len(cells):
+        i = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
+        n = np.where(cells[i] == cell, counts[i], n)
+    return cell, n
+
+
+def _placer(hot_cells, ahead, size, width, block_cells, blocks):
+    """Every window as ``part, offset, at, est`` and its block and bit in each row; a hot cell needs no look-up and has a block of its own."""
+
+    def run(batches):
+        for b in batches:
+            for r, (entity, code) in enumerate(_rows(b, ahead.value)):
+                h, ok = _hashes(entity, code, size)
+                at = np.flatnonzero(ok)
+                if not len(at):
+                    continue
+                est, where = np.full(len(at), np.iinfo(np.int64).max), []
+                for row in range(DEPTH):
+                    cell, n = _estimate(h[at], row, width, lambda c: np.ones(len(c), bool), hot_cells.value)
+                    est = np.minimum(est, n)
+                    where += [pa.array(np.where(n > 2, -1 - cell % 4096, row * blocks + cell // block_cells).astype(np.int32)), pa.array((cell % block_cells).astype(np.int32))]
+                one = lambda c, t: pa.array(np.full(len(at), b.column(c)[r].as_py()), t)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([one("part", pa.int32()), one("offset", pa.int64()), pa.array(at.astype(np.int32)), pa.array(est), *where], names=["part", "offset", "at", "est", *(f"{k}{row}" for row in range(DEPTH) for k in ("block", "bit"))])
+
+    return run
+
+
+def _called_repeated(chunks, sketch, hot_cells, ahead, size, width, block_cells, blocks):
+    """The chunks with the places and estimates of those windows that a sketch of any width calls repeated."""
+    where = "".join(f", block{row} int, bit{row} int" for row in range(DEPTH))
+    left = chunks.mapInArrow(_placer(hot_cells, ahead, size, width, block_cells, blocks), f"part int, offset long, at int, est long{where}")
+    for row in range(DEPTH):
+        bits = sketch.select(F.col("block").alias(f"block{row}"), "repeated").hint("shuffle_hash")
+        byte = F.conv(F.hex(F.substring("repeated", F.shiftright(f"bit{row}", 3) + 1, F.lit(1))), 16, 10).cast("int")
+        on = F.call_function("shiftright", byte, 7 - F.col(f"bit{row}") % 8).bitwiseAND(F.lit(1)) == 1
+        left = left.join(bits, f"block{row}", "left").filter((F.col(f"block{row}") < 0) | on).drop("repeated")
+    places = left.groupBy("part", "offset").agg(F.array_sort(F.collect_list(F.struct("at", "est"))).alias("found"))  # at most a chunk's windows
+    return chunks.join(places, ["part", "offset"]).select(*chunks.columns, F.col("found.at").alias("at"), F.col("found.est").alias("est"))
+
+
 def _emitter(sketch, ahead, base, size, width, hot, code_type):
     def run(batches):
-        bits, hot_cells = sketch.value
+        bits, hot_cells = (None, None) if sketch is None else sketch.value
         for b in batches:
             for r in range(b.num_rows):
                 part, last, n, at = (b.column(c)[r].as_py() for c in ("part", "last", "n", "offset"))
@@ -160,20 +226,16 @@ def _emitter(sketch, ahead, base, size, width, hot, code_type):
                 if a is not None:
                     cols = [np.concatenate([c, x]) for c, x in zip(cols, a, strict=True)]
                 entity, pos, code = cols
-                h, ok = _hashes(entity, code, size)
-                at_rows = np.flatnonzero(ok)
-                est = np.full(len(at_rows), np.iinfo(np.int64).max)
-                for row in range(DEPTH):
-                    cell = _cells(h[at_rows], row, width)
-                    seen = (bits[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1
-                    n_row = np.where(seen == 1, 2, 1).astype(np.int64)
-                    cells, counts = hot_cells[row]
-                    if len(cells):
-                        i = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
-                        n_row = np.where(cells[i] == cell, counts[i], n_row)
-                    est = np.minimum(est, n_row)
-                keep = est >= 2
-                at_rows, est = at_rows[keep], est[keep]
+                if sketch is None:  # looked up before
+                    at_rows, est = (b.column(c)[r].values.to_numpy().astype(np.int64) for c in ("at", "est"))
+                else:
+                    h, ok = _hashes(entity, code, size)
+                    at_rows = np.flatnonzero(ok)
+                    est = np.full(len(at_rows), np.iinfo(np.int64).max)
+                    for row in range(DEPTH):
+                        seen = lambda c, row=row: (bits[row][c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
+                        est = np.minimum(est, _estimate(h[at_rows], row, width, seen, hot_cells)[1])
+                    at_rows, est = at_rows[est >= 2], est[est >= 2]
                 if not len(at_rows):
                     continue
                 salts = np.maximum(1, est // hot)
@@ -182,7 +244,7 @@ def _emitter(sketch, ahead, base, size, width, hot, code_type):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(entity[at_rows]), pa.array(g), pa.array(pos[at_rows]), pa.array(pos[at_rows + size - 1]),
-                        pa.array(list(map(bytes, np.ascontiguousarray(content))), pa.binary()),
+                        _binary(content),
                         pa.array(salts.astype(np.int32)), pa.array((g % salts).astype(np.int32)),
                     ],
                     names=["entity", "g", "first_pos", "last_pos", "content", "salts", "salt"],
@@ -199,13 +261,13 @@ def shared_stretches(events: DataFrame, size: int = 20, width: int | None = None
     another entity; overlapping and touching spans form one stretch. Rows with a
     null entity or pos are left out, rows repeated for one (entity, pos) count
     once, further columns are ignored, an empty table gives no rows. ``width`` is
-    that of the sketch, by default 8 cells per event within ``WIDTHS``; it changes
-    how much the second pass groups, never the result.
+    that of the sketch, by default 8 cells per event; it changes how much the second
+    pass groups, never the result.
     """
     spark = events.sparkSession
     rows = events.filter("entity is not null and pos is not null").select(F.col("entity").cast("long"), F.col("pos").cast("long"), F.col("event").cast("string"))
     words = rows.filter("event is not null").select("event").distinct()
-    codes = written(words.select("event", F.row_number().over(W.orderBy("event")).alias("code")), "codes")
+    codes = numbered(words, ["event"], "code", 1).withColumn("code", F.col("code").cast("int"))
     n_codes = codes.count()
     code_type = "<u2" if n_codes < 65536 else "<i4"  # one for all chunks: windows are grouped by their bytes
     coded = rows.join(F.broadcast(codes) if n_codes <= 100_000 else codes, "event", "left").select("entity", "pos", F.coalesce("code", F.lit(0)).alias("code"))
@@ -227,30 +289,33 @@ def shared_stretches(events: DataFrame, size: int = 20, width: int | None = None
             if len(got[0]) >= size - 1:
                 break
         heads[p.part] = [np.array(got[0], np.int64), np.array(got[1], np.int64), np.array(got[2], np.int32)]
-    width = width or min(max(1 << (8 * total - 1).bit_length(), WIDTHS[0]), WIDTHS[1])
+    width = width or max(1 << (8 * total - 1).bit_length(), WIDTHS[0])
     hot = max(hot, total // 2000)
-    per = max(1, width // _BLOCK)
+    blocks = max(1, width // _BLOCK)
     sc = spark.sparkContext
     ahead, offsets = sc.broadcast(heads), sc.broadcast(base)
     partial = chunks.mapInArrow(_sketcher(ahead, size, width), "block int, cells binary, counts binary")
-    merged = partial.groupBy("block").applyInArrow(_merger(width // per, hot), "block int, repeated binary, hot binary, hot_n binary").collect()
-    bits = np.zeros((DEPTH, width // 8), np.uint8)
-    hot_cells = [[(np.empty(0, np.int64), np.empty(0, np.int64))] for _ in range(DEPTH)]
-    bytes_each = width // per // 8
-    for m in sorted(merged, key=lambda m: m.block):
-        row, i = divmod(m.block, per)
-        bits[row, i * bytes_each : (i + 1) * bytes_each] = np.frombuffer(bytes(m.repeated), np.uint8)
-        hot_cells[row].append((np.frombuffer(bytes(m.hot), np.int32).astype(np.int64) + i * (width // per), np.frombuffer(bytes(m.hot_n), np.int64)))
-    sketch = sc.broadcast((bits, [tuple(np.concatenate(x) for x in zip(*h, strict=True)) for h in hot_cells]))
+    merged = partial.groupBy("block").applyInArrow(_merger(width // blocks, hot), "block int, repeated binary, hot binary, hot_n binary")
+    if width > WIDTHS[1]:
+        merged = written(merged, "sketch")
+        hot_cells = sc.broadcast(_hot_cells(merged.filter(F.length("hot") > 0).select("block", "hot", "hot_n").collect(), blocks, width // blocks))  # at most some thousand cells
+        kept, sketch = _called_repeated(chunks, merged, hot_cells, ahead, size, width, width // blocks, blocks), None
+    else:
+        rows = merged.collect()
+        bits, bytes_each = np.zeros((DEPTH, width // 8), np.uint8), width // blocks // 8
+        for m in rows:
+            row, i = divmod(m.block, blocks)
+            bits[row, i * bytes_each : (i + 1) * bytes_each] = np.frombuffer(bytes(m.repeated), np.uint8)
+        kept, sketch = chunks, sc.broadcast((bits, _hot_cells(rows, blocks, width // blocks)))
     schema = "entity long, g long, first_pos long, last_pos long, content binary, salts int, salt int"
-    windows = written(chunks.mapInArrow(_emitter(sketch, ahead, offsets, size, width, hot, code_type), schema), "windows")
+    windows = written(kept.mapInArrow(_emitter(sketch, ahead, offsets, size, width, hot, code_type), schema), "windows")
     # exact: a window is shared if two entities have its content; salted where the sketch says it is frequent
     some = windows.groupBy("content", "salt").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi"), F.max("salts").alias("salts"))
     shared = some.groupBy("content").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("salts").alias("salts")).filter("lo < hi")
     shared = shared.select("content", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    kept = windows.join(shared, ["content", "salt"], "left_semi")
+    found = windows.join(shared, ["content", "salt"], "left_semi")
     # windows in order of their place; one stretch as long as the next begins inside or right behind the last
-    runs = sorted_runs(kept.select(F.lit(0).alias("kind"), "entity", F.col("g").alias("pos"), F.col("last_pos").alias("end"), F.col("first_pos").cast("string").alias("event")), max_gap=size)
+    runs = sorted_runs(found.select(F.lit(0).alias("kind"), "entity", F.col("g").alias("pos"), F.col("last_pos").alias("end"), F.col("first_pos").cast("string").alias("event")), max_gap=size)
     return runs.select("entity", F.col("event").cast("long").alias("first_pos"), F.col("last_end").alias("last_pos"), (F.col("last_pos") - F.col("first_pos") + size).alias("n_events"))
 
 

@@ -91,9 +91,13 @@ def brute_stretches(rows, size):
     return sorted((e, sorted(seqs[e])[a], sorted(seqs[e])[b + size - 1], b - a + size) for e, a, b in out)
 
 
-@pytest.mark.parametrize("seed,parts,width,hot", [(1, 1, None, 20_000), (2, 5, 1 << 16, 3), (3, 4, None, 2)])
-def test_spans_equal_brute_force(spark, rows, monkeypatch, seed, parts, width, hot):
+@pytest.mark.parametrize("seed,parts,width,hot,most", [(1, 1, None, 20_000, None), (2, 5, 1 << 16, 3, None), (3, 4, None, 2, None), (1, 4, None, 20_000, 1), (2, 3, 64, 3, 1), (3, 1, 128, 20_000, 1)])
+def test_spans_equal_brute_force(spark, rows, monkeypatch, seed, parts, width, hot, most):
+    """With ``most``, the sketch stays a table of blocks; with few cells, these are full and call nearly all windows repeated."""
     monkeypatch.setattr(spans, "CHUNK", 16)
+    if most:
+        monkeypatch.setattr(spans, "WIDTHS", (1 << 10, most))
+        monkeypatch.setattr(spans, "_BLOCK", 64)
     rng = random.Random(seed)
     base = [rng.choice("abcd") for _ in range(60)]
     data = []
