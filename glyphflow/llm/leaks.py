@@ -8,11 +8,18 @@ block finds them all. Fingerprints of similar windows may lie further apart, so
 prefix filter on the shingles finds the rest: of an item's window, in order of
 hash, only the first shingles are indexed, until what is left weighs too little
 for the similarity; a similar window holds one of them. Candidates are verified
-by the exact similarity of their weighted shingles; :func:`p7_found` asks for equal
-words, which have equal fingerprints, and leaves the prefix filter out.
+by the exact similarity of their weighted shingles.
+
+Without a stated ``size`` windows are as long as the item: lengths form classes a
+quarter apart, an item is cut into windows of the class just below its own length,
+and one pass over a document serves all classes. TESTDATA.md defines a leak by 12
+equal words: :func:`p7_found` takes windows of 12 and asks for equal words, which
+have equal fingerprints, so it leaves the prefix filter out.
 
 The items are a stated query set: their windows are counted, cut into slices of
-at most ``SLICE`` and broadcast slice by slice; documents are never shuffled.
+at most ``SLICE`` and broadcast slice by slice, each slice another pass over the
+documents. These are shuffled only where they come in fewer splits than twice
+the cores.
 """
 
 from __future__ import annotations
@@ -35,6 +42,8 @@ from ..tables import table
 SIZE, SHINGLE, RADIUS, SLICE = 12, 5, 3, 500_000
 #: Words that are fingerprinted at once; characters from which on a text is read in pieces.
 BLOCK, LONG = 1 << 15, 1 << 22
+#: Step from one class of window lengths to the next.
+CLASS_STEP = 1.25
 WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
 
@@ -67,17 +76,30 @@ def _shingles(words, letters, shingle):
     return _mix(h), w
 
 
-def _fingerprints(hashes, weights, per):
-    """SimHash of every ``per`` consecutive shingles."""
-    m = len(hashes) - per + 1
+def _votes(hashes, weights):
+    """Running sums of the weighted bits of shingles, and of their weights."""
     bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
     votes = np.zeros((len(hashes) + 1, 64), np.int32)
     np.cumsum(bits * weights[:, None], axis=0, out=votes[1:])
-    total = np.r_[0, np.cumsum(weights)]
+    return votes, np.r_[0, np.cumsum(weights)]
+
+
+def _fingerprints(hashes, weights, per, votes=None):
+    """SimHash of every ``per`` consecutive shingles."""
+    votes, total = votes or _votes(hashes, weights)
+    m = len(total) - per
     on = 2 * (votes[per:] - votes[:m]) > (total[per:] - total[:m])[:, None]
     return np.packbits(on, axis=1).view(">u8").ravel().astype(_U)
 
 
+def window_size(words: int, shingle: int = SHINGLE) -> int:
+    """The class of an item's length: the longest class that is no longer than the item."""
+    size = float(shingle)
+    while max(int(size * CLASS_STEP), int(size) + 1) <= words:
+        size = max(int(size * CLASS_STEP), int(size) + 1)
+    return int(size)
+
+
 class Index:
     """Windows of the items in a multi-index over blocks of their fingerprints."""
 
@@ -173,12 +195,13 @@ class Index:
     def similarity(self, h, w, j) -> np.ndarray:
         """Weighted Jaccard similarity of the sets of shingles."""
         out = np.empty(len(j))
-        for s in range(0, len(j), 50_000):
-            a, wa, b, wb = h[s : s + 50_000], w[s : s + 50_000], self.h[j[s : s + 50_000]], self.w[j[s : s + 50_000]]
+        step = max(1, 3_200_000 // self.per**2)
+        for s in range(0, len(j), step):
+            a, wa, b, wb = h[s : s + step], w[s : s + step], self.h[j[s : s + step]], self.w[j[s : s + step]]
             once = lambda x: ~np.tril(x[:, :, None] == x[:, None, :], -1).any(2)
             ua, ub = once(a), once(b)
             both = (wa * (ua & (a[:, :, None] == b[:, None, :]).any(2))).sum(1)
-            out[s : s + 50_000] = both / np.maximum(1, (wa * ua).sum(1) + (wb * ub).sum(1) - both)
+            out[s : s + step] = both / np.maximum(1, (wa * ua).sum(1) + (wb * ub).sum(1) - both)
         return out
 
 
@@ -193,34 +216,39 @@ def _pieces(text: str, size: int) -> Iterator[list[str]]:
         held = (held + piece)[-(size - 1) :]
 
 
-def leaked(docs: DataFrame, items: DataFrame, size: int = SIZE, shingle: int = SHINGLE, radius: int = RADIUS, least: float = 0.8, similar: bool = True) -> DataFrame:
+def leaked(docs: DataFrame, items: DataFrame, size: int | None = SIZE, shingle: int = SHINGLE, radius: int = RADIUS, least: float = 0.8, similar: bool = True) -> DataFrame:
     """``doc_id, item_id, n_windows, n_item_windows, best, same``: documents with a window like one of an item.
 
     ``docs``: ``doc_id, text``; ``items``: ``item_id, text``. A pair comes out when
-    a window of ``size`` words of the document has a similarity of its weighted
-    ``shingle``-word shingles to those of one of the item of at least ``least``;
-    without ``similar`` only if their fingerprints are within ``radius`` too. ``n_windows`` counts the document's such windows, ``best`` is
-    the highest similarity, ``n_item_windows`` the item's windows with equal words
-    in the document, and ``same`` whether there is one. Null or empty texts and
-    items shorter than ``size`` words give no rows; null ids are left out; repeated
+    a window of ``size`` words of the document (None: about as many as the item has)
+    has a similarity of its weighted ``shingle``-word shingles to those of one of the
+    item of at least ``least``; without ``similar`` only if their fingerprints are
+    within ``radius`` too. ``n_windows`` counts the document's such windows, ``best``
+    is the highest similarity, ``n_item_windows`` the item's windows with equal words
+    in the document, and ``same`` whether there is one. Null or empty texts and items
+    shorter than a window (a shingle) give no rows; null ids are left out; repeated
     ids are looked at one by one and their rows merge; further columns are ignored.
     """
     spark = docs.sparkSession
     wanted = items.filter("item_id is not null and text is not null").select("item_id", "text")
-    slices, now, n = [], [], 0
+    slices: list[dict[int, list]] = [{}]
+    n = 0
     for row in wanted.toLocalIterator():
-        k = max(0, len(WORD.findall(row.text)) - size + 1)
-        if now and n + k > SLICE:
-            slices.append(now)
-            now, n = [], 0
-        now.append((row.item_id, row.text))
-        n += k
-    slices.append(now)
+        words = len(WORD.findall(row.text))
+        length = size or window_size(words, shingle)
+        if words < length:
+            continue
+        cost = (words - length + 1) * max(1, length // SIZE)
+        if n and n + cost > SLICE:
+            slices.append({})
+            n = 0
+        slices[-1].setdefault(length, []).append((row.item_id, row.text))
+        n += cost
     texts = spread(docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text"))
     schema = "doc_id long, item_id long, at array<int>, n_windows int, best double"
     found = None
     for some in slices:
-        index = spark.sparkContext.broadcast(Index(some, size, shingle, radius, least if similar else None))
+        index = spark.sparkContext.broadcast([Index(of, length, shingle, radius, least if similar else None) for length, of in sorted(some.items())])
         rows = texts.mapInArrow(_searcher(index, least), schema)
         found = rows if found is None else found.unionByName(rows)
     out = found.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max(F.size("at")).alias("n_item_windows"), F.max("best").alias("best"))
@@ -229,27 +257,27 @@ def leaked(docs: DataFrame, items: DataFrame, size: int = SIZE, shingle: int = S
 
 def _searcher(shared, least):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
-        if not index.n:
+        indexes: list[Index] = shared.value
+        if not indexes:
             return
         known = _Words()
-        size = index.size
+        shortest, longest = indexes[0].size, indexes[-1].size
         for batch in batches:
             hits: dict[tuple[int, int], list] = defaultdict(lambda: [set(), 0, 0.0])
             block, docs, total = [], [], 0
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for r, doc in enumerate(ids):
-                for words in _pieces(texts[r].as_py(), size):
-                    if len(words) < size:
+                for k, words in enumerate(_pieces(texts[r].as_py(), longest)):
+                    if len(words) < shortest:
                         continue
                     block += words
-                    docs.append((doc, len(words)))
+                    docs.append((doc, len(words), k > 0))
                     total += len(words)
                     if total >= BLOCK:
-                        _search(index, known, block, docs, least, hits)
+                        _search(indexes, known, block, docs, least, hits)
                         block, docs, total = [], [], 0
             if docs:
-                _search(index, known, block, docs, least, hits)
+                _search(indexes, known, block, docs, least, hits)
             if hits:
                 keys = list(hits)
                 yield pa.RecordBatch.from_arrays(
@@ -264,18 +292,32 @@ def _searcher(shared, least):
     return run
 
 
-def _search(index: Index, known: _Words, block: list[str], docs: list[tuple[int, int]], least: float, hits) -> None:
-    size, per = index.size, index.per
-    sizes = np.array([n for _, n in docs])
+def _search(indexes: list[Index], known: _Words, block: list[str], docs: list[tuple[int, int, bool]], least: float, hits) -> None:
+    sizes = np.array([n for _, n, _ in docs])
     words = np.fromiter(map(known.__getitem__, block), _U, len(block))
     letters = np.fromiter(map(len, block), np.int32, len(block))
     of = np.repeat(np.arange(len(docs)), sizes)
-    inside = np.flatnonzero(of[: len(of) - size + 1] == of[size - 1 :])  # windows that lie in one document
-    h, w = _shingles(words, letters, index.shingle)
-    f = np.empty(len(h) - per + 1, _U)
-    for s in range(0, len(f), BLOCK):  # a piece of a long text is larger than a block
-        e = min(len(f), s + BLOCK)
-        f[s:e] = _fingerprints(h[s : e + per - 1], w[s : e + per - 1], per)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    goes_on = np.repeat([c for _, _, c in docs], sizes)
+    h, w = _shingles(words, letters, indexes[0].shingle)
+    most, prints = max(x.per for x in indexes), [[] for _ in indexes]
+    for s in range(0, len(h), BLOCK):  # a piece of a long text is larger than a block
+        part_h, part_w = h[s : s + BLOCK + most - 1], w[s : s + BLOCK + most - 1]
+        votes = _votes(part_h, part_w)
+        for got, index in zip(prints, indexes, strict=True):
+            if len(part_h) >= index.per:
+                got.append(_fingerprints(part_h, part_w, index.per, votes)[:BLOCK])
+    for index, got in zip(indexes, prints, strict=True):
+        size = index.size
+        if not got or len(of) < size:
+            continue
+        # windows that lie in one document; those of a piece's overlap were seen in the piece before
+        ok = (of[: len(of) - size + 1] == of[size - 1 :]) & ~(goes_on & (place < indexes[-1].size - size))[: len(of) - size + 1]
+        _verify(index, np.concatenate(got), np.flatnonzero(ok), words, h, w, of, docs, least, hits)
+
+
+def _verify(index: Index, f, inside, words, h, w, of, docs, least, hits) -> None:
+    """Adds the windows in ``inside`` that are similar to one of the index."""
     i, j = index.near(f[inside])
     i = inside[i]
     if hasattr(index, "prefix"):
@@ -284,11 +326,13 @@ def _search(index: Index, known: _Words, block: list[str], docs: list[tuple[int,
         i, j = pairs >> 32, pairs & 0xFFFFFFFF
     if not len(i):
         return
-    span = i[:, None] + np.arange(per)
-    like = index.similarity(h[span], w[span], j)
+    like = np.empty(len(i))
+    for s in range(0, len(i), 100_000):
+        span = i[s : s + 100_000, None] + np.arange(index.per)
+        like[s : s + 100_000] = index.similarity(h[span], w[span], j[s : s + 100_000])
     good = like >= least
     i, j, like = i[good], j[good], like[good]
-    equal = (words[i[:, None] + np.arange(size)] == index.words[j]).all(1)
+    equal = (words[i[:, None] + np.arange(index.size)] == index.words[j]).all(1)
     last = {}
     for a, b, s, e in zip(i.tolist(), j.tolist(), like.tolist(), equal.tolist(), strict=True):
         key = (docs[of[a]][0], int(index.item[b]))
@@ -307,15 +351,21 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per item: in how many documents it stands wholly or partly, and the longest part."""
+    """Per item: how many documents hold 12 of its words in a row, and how many of its windows stand in one document at most."""
     items = table(spark, sf_dir, "heldout_items")
-    pairs = leaked(table(spark, sf_dir, "documents"), items)
-    per = pairs.groupBy("item_id").agg(F.count_if("same").alias("n_leaking"), F.count("*").alias("n_similar"), F.max("n_item_windows").alias("most_windows"))
+    pairs = leaked(table(spark, sf_dir, "documents"), items, similar=False).filter("same")
+    per = pairs.groupBy("item_id").agg(F.count("*").alias("n_leaking"), F.max("n_item_windows").alias("most_windows"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return items.filter("item_id is not null").select("item_id", "task").distinct().join(per, "item_id", "left").select("item_id", "task", *map(zero, ("n_leaking", "n_similar", "most_windows")))
+    return items.filter("item_id is not null").select("item_id", "task").distinct().join(per, "item_id", "left").select("item_id", "task", *map(zero, ("n_leaking", "most_windows")))
+
+
+def p7_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a near copy of an item: windows as long as the item with a similarity of 0.8 or more, how many, and the highest."""
+    pairs = leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"), size=None)
+    return pairs.select("doc_id", "item_id", "n_windows", F.round("best", 6).alias("best"), "same")
 
 
-QUERIES = {"p7_found": p7_found, "p7_items": p7_items}
+QUERIES = {"p7_found": p7_found, "p7_items": p7_items, "p7_similar": p7_similar}
 
 SQL = {
     "p7_found": """
@@ -327,5 +377,14 @@ WITH tok AS (
   FROM (SELECT *, unnest(range(1, len(w) - 10)) AS i FROM tok WHERE len(w) >= 12)
 )
 SELECT DISTINCT d.id AS doc_id, q.id AS item_id FROM g d JOIN g q ON d.s = q.s WHERE d.side = 0 AND q.side = 1
+""",
+    "p7_items": """
+WITH tok AS (
+  SELECT doc_id AS id, 0 AS side, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT item_id, 1, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) FROM heldout_items WHERE text IS NOT NULL
+), g AS (SELECT id, side, i, array_to_string(w[i:i+11], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 10)) AS i FROM tok WHERE len(w) >= 12)),
+d AS (SELECT DISTINCT id, s FROM g WHERE side = 0), n AS (SELECT d.id AS doc_id, q.id AS item_id, count(DISTINCT q.i) AS n FROM d JOIN g q ON d.s = q.s AND q.side = 1 GROUP BY ALL),
+p AS (SELECT item_id, count(*) AS n_leaking, max(n) AS most FROM n GROUP BY 1)
+SELECT i.item_id, task, coalesce(n_leaking, 0) AS n_leaking, CAST(coalesce(most, 0) AS INT) AS most_windows FROM (SELECT DISTINCT item_id, task FROM heldout_items WHERE item_id IS NOT NULL) i LEFT JOIN p USING (item_id)
 """,
 }

@@ -93,6 +93,37 @@ def test_similar_windows_equal_brute_force(spark):
     assert got == want and len(want) > 100
 
 
+def _planted(every, size, n=150, seed=3):
+    """Items of ``size`` words, and for each a document with the item inside, every so many words another."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(2, 9)))
+    items = [(i, " ".join(word() for _ in range(size))) for i in range(n)]
+    docs = [(i, " ".join([*(word() for _ in range(20)), *(word() if every and k % every == every - 1 else w for k, w in enumerate(t.split())), *(word() for _ in range(20))])) for i, t in items]
+    return items, docs
+
+
+@pytest.mark.parametrize("every,size,shingle,least,recall", [(60, 60, 5, 0.8, 1.0), (10, 40, 2, 0.5, 0.9), (12, 40, 2, 0.5, 0.9), (10, 40, 5, 0.8, 0.0)])
+def test_item_sized_windows_find_changed_items(spark, every, size, shingle, least, recall):
+    """With shingles of five and 0.8 a changed word in sixty is found; every tenth word takes shorter shingles and a lower bound."""
+    items, docs = _planted(every, size)
+    got = {(r.doc_id, r.item_id) for r in leaks.leaked(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), size=None, shingle=shingle, least=least).collect()}
+    hit = sum((i, i) in got for i, _ in items) / len(items)
+    assert hit >= recall and all(d == i for d, i in got)
+    assert recall or hit == 0.0
+
+
+def test_item_sized_windows_in_pieces_equal_whole_texts(spark, monkeypatch):
+    rng = random.Random(5)
+    items = [(i, " ".join(f"w{rng.randrange(40)}" for _ in range(n))) for i, n in enumerate((5, 6, 9, 14, 23, 40))]
+    docs = [(1, " ".join([t for _, t in items] * 3 + [f"w{rng.randrange(40)}" for _ in range(200)])), (2, "w1 w2"), (3, None)]
+    run = lambda: sorted(tuple(r) for r in leaks.leaked(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), size=None).collect())
+    whole = run()
+    assert {r[1] for r in whole} == set(range(6))
+    monkeypatch.setattr(leaks, "LONG", 100)
+    monkeypatch.setattr(leaks, "islice", lambda it, n: __import__("itertools").islice(it, 50))
+    assert run() == whole
+
+
 def test_leak_index_finds_everything_within_the_radius():
     rng = np.random.default_rng(1)
     index = leaks.Index([(1, " ".join(f"a{i}" for i in range(40)))], 12, 5, 3)
