@@ -2,15 +2,22 @@
 
 Method: the reference spellings form a trie; a token runs through it as a
 weighted edit automaton in which look-alikes and ignorable characters cost
-nothing and every other edit costs 1. A token that ends at cost 0 takes the
+nothing, a change that a reader sees but may overlook (case, an accent, the level
+of a digit) costs 1 and every other edit 2. A token that ends at cost 0 takes the
 spelling of that node; tokens that match none are normalised by the table alone.
 Tokens are handled once per distinct value of a batch, and nothing is shuffled.
+
+What looks alike comes from two sources: compatibility forms by rule from the
+Unicode database (full width, mathematical and other styled letters, ligatures and
+numerals made of letters; not what is set higher, lower, in a circle or as a
+fraction, which a reader sees), and letters of other scripts from a fixed table.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,13 +33,40 @@ LATIN_LOOKALIKES = {
     "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "G": "Ԍ", "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "M": "МΜ",
     "N": "Ν", "O": "ОΟՕ", "P": "РΡ", "Q": "Ԛ", "S": "ЅՏ", "T": "ТΤ", "U": "Ս", "V": "Ѵ", "W": "Ԝ", "X": "ХΧ", "Y": "ҮΥ", "Z": "Ζ",
 }
+# More of them, of Cherokee and Lisu, and small capitals whose shape is that of the small letter.
+MORE_LOOKALIKES = {
+    "A": "Ꭺꓮ", "B": "Ᏼꓐ", "C": "Ꮯꓚ", "D": "Ꭰꓓ", "E": "Ꭼꓰ", "F": "ꓝ", "G": "Ꮐꓖ", "H": "Ꮋꓧ", "I": "ꓲ", "J": "Ꭻꓙ", "K": "Ꮶꓗ", "L": "Ꮮꓡ", "M": "Ꮇꓟ", "N": "ꓠ", "O": "ꓳ", "P": "Ꮲꓑ",
+    "R": "Ꭱꓣ", "S": "Ꮪꓢ", "T": "Ꭲꓔ", "U": "ꓴ", "V": "Ꮩꓦ", "W": "Ꮃꓪ", "X": "ꓫ", "Y": "ꓬ", "Z": "Ꮓꓜ", "c": "ᴄ", "o": "ᴏ", "s": "ꜱ", "u": "ᴜ", "v": "ᴠ", "w": "ᴡ", "z": "ᴢ",
+}
 # Letters that read as a digit beside real digits.
 DIGIT_LOOKALIKES = {"0": "O", "1": "lI|"}
 # Marks drawn like an ASCII sign.
-SIGN_LOOKALIKES = {"|": "ǀ∣│❘", "+": "➕", "-": "‐‑−", "'": "’ʼ"}
+SIGN_LOOKALIKES = {"|": "ǀ∣│❘", "+": "➕", "-": "‐‑‒–−⁃", "'": "’ʼ", "*": "∗⁎", ":": "ː∶"}
 IGNORED_EXTRA = set("͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ")
-_TABLE = {ord(x): c for table_ in (LATIN_LOOKALIKES, SIGN_LOOKALIKES) for c, xs in table_.items() for x in xs}
+#: Compatibility forms that differ from their letters only in style or width.
+STYLES = {"<font>", "<wide>", "<narrow>", "<noBreak>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>"}
+_TABLE = {ord(x): c for table_ in (LATIN_LOOKALIKES, MORE_LOOKALIKES, SIGN_LOOKALIKES) for c, xs in table_.items() for x in xs}
 _DIGITS = {x: d for d, xs in DIGIT_LOOKALIKES.items() for x in xs}
+
+
+#: Letters and marks stand below this code point (above: ideographs, tags and private use).
+ASSIGNED = 0x20000
+
+
+@cache
+def styled() -> dict[int, str]:
+    """Characters that the Unicode database gives as letters, digits or marks in another style, and those."""
+    out = {}
+    for point in range(0xA0, ASSIGNED):
+        kind = unicodedata.decomposition(chr(point)).split(" ")
+        if kind[0] in STYLES:
+            shown = unicodedata.normalize("NFKD", chr(point))
+            if " " not in shown and not any(unicodedata.combining(c) for c in shown):  # a blank there carries a mark
+                out[point] = "".join(_TABLE.get(ord(c), c) for c in shown)
+    return out
+
+#: Cost of a change that is easily overlooked, and of any other.
+ACCENT, EDIT = 1, 2
 #: Values a worker remembers before it forgets them all.
 MEMO = 200_000
 
@@ -43,18 +77,32 @@ def ignorable(c: str) -> bool:
 
 
 def plain(c: str) -> str:
-    """A character's look: half width, Latin, one kind of blank."""
-    if "！" <= c <= "～":
-        c = chr(ord(c) - 0xFEE0)
+    """A character's look: half width, one style, Latin, one kind of blank; a ligature is several letters."""
+    if c.isascii():
+        return " " if c.isspace() else c
     if c.isspace() or unicodedata.category(c) == "Zs":
         return " "
-    return _TABLE.get(ord(c), c)
+    return _TABLE.get(ord(c)) or styled().get(ord(c), c)
+
+
+def shown(token: str) -> list[str]:
+    """The characters that show on the page, accents apart and ligatures as their letters."""
+    out = []
+    for c in unicodedata.normalize("NFD", token):
+        if not ignorable(c):
+            look = plain(c)
+            out += look if len(look) > 1 else [c]
+    return out
 
 
 def by_table(token: str) -> str:
     """The form of a token that no reference spelling explains."""
-    shown = "".join(plain(c) for c in unicodedata.normalize("NFD", token) if not ignorable(c))
-    return unicodedata.normalize("NFC", shown.strip())
+    return unicodedata.normalize("NFC", "".join(map(plain, shown(token))).strip())
+
+
+def overlooked(c: str) -> str:
+    """What is left of a character for a careless reader: small, without its level."""
+    return unicodedata.normalize("NFKD", plain(c)).lower()
 
 
 class Automaton:
@@ -84,7 +132,7 @@ class Automaton:
         """The spelling of least cost (first in order among equals) and its cost, or (None, most + 1)."""
         if token in self.words:
             return token, 0
-        chars = [c for c in unicodedata.normalize("NFD", token) if not ignorable(c)]
+        chars = shown(token)
         while chars and plain(chars[0]) == " ":
             chars.pop(0)
         while chars and plain(chars[-1]) == " ":
@@ -93,11 +141,12 @@ class Automaton:
         states = self._fill({0: 0}, most)
         for c in chars:
             looks, out = self._looks(c, digits), {}
+            extra, like = (ACCENT if unicodedata.combining(c) else EDIT), overlooked(c) if most else ""
             for at, cost in states.items():
-                if cost < most:
-                    _lower(out, at, cost + 1)  # a character too many
+                if cost + extra <= most:
+                    _lower(out, at, cost + extra)  # a character too many
                 for edge, to in self.next[at].items():
-                    step = cost + (edge not in looks)
+                    step = cost + (0 if edge in looks else ACCENT if like and overlooked(edge) == like else EDIT)
                     if step <= most:
                         _lower(out, to, step)
             states = self._fill(out, most)
@@ -114,10 +163,10 @@ class Automaton:
         todo = list(states)
         while todo:
             at = todo.pop()
-            if states[at] < most:
-                for to in self.next[at].values():
-                    if _lower(states, to, states[at] + 1):
-                        todo.append(to)
+            for edge, to in self.next[at].items() if most else ():
+                cost = states[at] + (ACCENT if unicodedata.combining(edge) else EDIT)
+                if cost <= most and _lower(states, to, cost):
+                    todo.append(to)
         return states
 
 
@@ -134,7 +183,7 @@ def canonical_forms(df: DataFrame, fields: dict[str, tuple[list[str], dict[str,
     ``fields`` maps a column to its reference spellings (a vocabulary of at most
     some thousands) and further look-alikes. ``cost`` is 0 where the value is or
     looks like the spelling in ``form``; with ``most`` above 0 also the nearest
-    spelling within that many edits; -1 where the table alone gave the form. Null
+    spelling within that cost; -1 where the table alone gave the form. Null
     and empty values keep themselves and have a null cost. Rows stay one to one;
     texts of any length are read whole.
     """
@@ -199,5 +248,47 @@ def p6_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.groupBy(F.col("id").alias("sign_id")).agg(*(F.min(f"{f}_form").alias(f"{f}_form") for f in FIELDS))
 
 
-QUERIES = {"p6_found": p6_found, "p6_deviating": p6_deviating, "p6_normalized": p6_normalized}
-SQL: dict[str, str] = {}
+def p6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct values that look like no spelling, each with the spelling of least cost within one edit, and that cost."""
+    spellings = _spellings(spark, sf_dir)
+    signs = table(spark, sf_dir, "signs").select(*FIELDS)
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in FIELDS)))
+    values = signs.select(each.alias("e")).select("e.*").filter("value <> ''").distinct()
+    cols = {f: F.when(F.col("field_name") == f, F.col("value")) for f in FIELDS}
+    forms = canonical_forms(values.select("field_name", "value", *(c.alias(f) for f, c in cols.items())), spellings, ["field_name", "value"], EDIT)
+    form, cost = (F.coalesce(*(F.when(F.col("field_name") == f, F.col(f"{f}_{k}")) for f in FIELDS)) for k in ("form", "cost"))
+    return forms.select("field_name", "value", form.alias("form"), cost.alias("cost")).filter("cost > 0")
+
+
+QUERIES = {"p6_found": p6_found, "p6_deviating": p6_deviating, "p6_normalized": p6_normalized, "p6_nearest": p6_nearest}
+
+
+def _sql() -> dict[str, str]:
+    """The same forms by replacing characters: every spelling of sign_list is its own plain form."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    single = {chr(p): c for p, c in {**styled(), **_TABLE}.items() if len(c) == 1} | {c: " " for c in map(chr, range(0x80, ASSIGNED)) if (c.isspace() or unicodedata.category(c) == "Zs")}
+    single |= {c: " " for c in "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"}
+    unseen = "".join(c for c in map(chr, [*range(1, ASSIGNED), *range(0xE0000, 0xE0200)]) if not 0xD800 <= ord(c) <= 0xDFFF and ignorable(c))
+    mapped = f"trim(nfc_normalize(translate(translate(value, {quote(unseen)}, ''), {quote(''.join(single))}, {quote(''.join(single.values()))})), ' ')"
+    aliased = "CASE WHEN field_name = 'character' THEN coalesce((SELECT min(character) FROM sign_list l WHERE l.linear_b_character = m), m) ELSE m END"
+    base = f"""
+WITH sp AS (SELECT DISTINCT * FROM (SELECT 'unicode' AS field_name, unicode AS form FROM sign_list UNION ALL SELECT 'character', character FROM sign_list UNION ALL SELECT 'transliteration', transliteration FROM sign_list) WHERE form <> ''),
+v0 AS (SELECT DISTINCT * FROM (SELECT id, 'unicode' AS field_name, unicode AS value FROM signs UNION ALL SELECT id, 'character', character FROM signs UNION ALL SELECT id, 'transliteration', transliteration FROM signs)),
+v1 AS (SELECT DISTINCT field_name, value, {mapped} AS m FROM v0 WHERE value <> ''),
+v2 AS (SELECT *, {aliased} AS ma, CASE WHEN regexp_matches(m, '[0-9]') THEN translate(m, 'OlI|', '0111') ELSE m END AS md FROM v1),
+v3 AS (SELECT v2.field_name, value, m, min(sp.form) AS form FROM v2 LEFT JOIN sp ON sp.field_name = v2.field_name AND (sp.form = value OR sp.form = m OR sp.form = ma OR sp.form = md) GROUP BY ALL),
+dev AS (SELECT id AS sign_id, field_name, value, form FROM v0 JOIN v3 USING (field_name, value) WHERE form IS NOT NULL AND (field_name, value) NOT IN (SELECT field_name, form FROM sp))
+"""
+    cell = lambda f: f"min(CASE WHEN field_name = '{f}' THEN CASE WHEN value = '' THEN '' WHEN (field_name, value) IN (SELECT field_name, form FROM sp) THEN value ELSE coalesce(form, m) END END) AS {f}_form"
+    return {
+        "p6_found": base + "SELECT DISTINCT sign_id, field_name FROM dev",
+        "p6_deviating": base + "SELECT * FROM dev",
+        "p6_normalized": base + f"SELECT id AS sign_id, {', '.join(map(cell, FIELDS))} FROM v0 LEFT JOIN v3 USING (field_name, value) GROUP BY id",
+    }
+
+
+def __getattr__(name: str):
+    """``SQL`` is made when asked for: workers that import this module never need it."""
+    if name == "SQL":
+        return _sql()
+    raise AttributeError(name)

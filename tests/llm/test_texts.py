@@ -23,10 +23,22 @@ def test_automaton_costs_nothing_for_looks_only(value, want):
 
 
 def test_automaton_counts_other_edits():
-    assert AUTO.match("FAR T", 1) == ("FAR TE", 1)
-    assert AUTO.match("FAR TEE", 1) == ("FAR TE", 1)
-    assert AUTO.match("FOR TЕ", 1) == ("FAR TE", 1)
-    assert AUTO.match("FO TE", 1)[0] is None
+    assert AUTO.match("FAR T", 2) == ("FAR TE", 2)
+    assert AUTO.match("FAR TEE", 2) == ("FAR TE", 2)
+    assert AUTO.match("FOR TЕ", 2) == ("FAR TE", 2)
+    assert AUTO.match("FO TE", 2)[0] is None
+    assert AUTO.match("Far Te", 1)[0] is None and AUTO.match("Far TE", 2) == ("FAR TE", 2)
+    assert AUTO.match("FAr TE", 1) == ("FAR TE", 1)
+    assert AUTO.match("ra2", 1) == ("ra₂", 1) and AUTO.match("sa", 1) == ("ša", 1)
+    assert AUTO.match("FÁR TE", 1) == ("FAR TE", 1)
+
+
+@pytest.mark.parametrize(
+    "value,want",
+    [("𝐅𝐀𝐑 𝖳𝙴", "FAR TE"), ("ﬁn", "fin"), ("a–b", "a-b"), ("Ⅱ", "II"), ("Ⅾ", "D"), ("ᎪꓮᏴ", "AAB"), ("a∗b", "a*b"), ("ℓ", "l"), ("ᴏꜱ", "os"), ("a\xa0b", "a b"), ("½", "½"), ("①", "①"), ("ra₂", "ra₂"), ("x²", "x²"), ("ﬁ\u200bt", "fit")],
+)
+def test_table_gives_one_form_for_one_look(value, want):
+    assert lookalikes.by_table(value) == want
 
 
 def test_forms_of_nulls_long_texts_and_clashing_columns(spark):
