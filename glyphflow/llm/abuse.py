@@ -18,6 +18,7 @@ stands in unlabelled text, is counted over all documents.
 
 from __future__ import annotations
 
+import io
 import re
 import unicodedata
 from collections import Counter
@@ -38,6 +39,8 @@ from .seeds import seed_sentences
 MAX_LABELS, MAX_SOBER = 4000, 10_000
 #: Unlabelled documents that training reads at most (by hash of their id), as weak examples of sober text.
 MAX_PLAIN = 3000
+#: Labelled documents whose capitalised words serve as names in seed sentences, and how many of these names.
+NAME_TEXTS, NAMES = 400, 60
 #: Parts of the labels, each scored by a network trained on the others.
 FOLDS = 4
 #: Tokens a worker keeps projected before it starts anew; windows scored at once.
@@ -134,6 +137,21 @@ class Model:
         return float(np.median(grid[f1 >= f1.max() - 0.01]))
 
 
+def save_model(spark: SparkSession, model: Model, path: str) -> None:
+    """Writes a trained model as a table of one row, for later sessions."""
+    packed = io.BytesIO()
+    np.savez(packed, held=np.array(model.held, np.float64).reshape(-1, 2), **model.net.p)
+    spark.createDataFrame([(bytearray(packed.getvalue()),)], "model binary").write.mode("overwrite").parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> Model:
+    """A model that :func:`save_model` wrote."""
+    packed = np.load(io.BytesIO(bytes(spark.read.parquet(path).first().model)))
+    net = Network()
+    net.p = {k: packed[k] for k in packed.files if k != "held"}
+    return Model(net, [tuple(x) for x in packed["held"].tolist()])
+
+
 class Scorer:
     """Scores token lists; token projections are remembered per worker."""
 
@@ -277,7 +295,7 @@ def _fit(labelled: list[tuple[str, float]], plain: list[str], rounds: int, seed:
     if len(weak) > MAX_SOBER:
         weak = [weak[k] for k in rng.choice(len(weak), MAX_SOBER, replace=False)]
     bad_docs = [i for i, (_, y) in enumerate(docs) if y == 1 and not held[i] and cut[i]]
-    names = sorted({w for (t, _), h in zip(labelled[:400], held, strict=False) if not h for w in re.findall(r"(?<=[a-z,] )[A-Z][a-z]{5,}", t)})[:60]
+    names = sorted({w for (t, _), h in zip(labelled[:NAME_TEXTS], held, strict=False) if not h for w in re.findall(r"(?<=[a-z,] )[A-Z][a-z]{5,}", t)})[:NAMES]
     planted = []
     for text, y in seed_sentences(names):
         sentence = code(text)
@@ -354,8 +372,12 @@ def _unlabelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def plain_texts(docs: DataFrame, labels: DataFrame, most: int = MAX_PLAIN) -> list[str]:
-    """At most ``most`` unlabelled texts, chosen by hash of the id."""
-    return [r.text for r in _unlabelled(docs, labels).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(most).collect()]
+    """At most ``most`` unlabelled texts, those of the least hashes of the id; a bound on the hash keeps nearly all other texts out of the search."""
+    rows, by = _unlabelled(docs, labels), F.xxhash64("doc_id", F.lit(1))
+    share = 2 * most / max(1, docs.count())
+    least = lambda df: [r.text for r in df.orderBy(by, "doc_id").limit(most).collect()]
+    some = least(rows.filter(by < -(1 << 63) + int(share * (1 << 64)))) if share < 1 else []
+    return some if len(some) == most else least(rows)
 
 
 def pair_counts(docs: DataFrame, wanted: set[tuple[str, str]]) -> tuple[dict[tuple[str, str], int], int]:

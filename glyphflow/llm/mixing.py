@@ -25,8 +25,8 @@ from ..tables import table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that splits text before byte pairs merge; fixed by the public vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bins of a size and source by hash; sizes are binned by octave and eighth.
-HASH_BINS = 64
+#: Documents that a hash bin of a size and source holds, about, and the least and most such bins; sizes are binned by octave and eighth.
+PER_BIN, HASH_BINS = 50_000, (64, 4096)
 
 
 def with_tokens(docs: DataFrame, text: str, keep: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
@@ -116,8 +116,9 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: i
     spark = docs.sparkSession
     offset = lambda s: int.from_bytes(hashlib.sha256(f"{seed}|{s}".encode()).digest()[:6], "big") / 2**48
     rates = spark.createDataFrame([(s, e, offset(s)) for s, e in copies.items()], "source string, rate double, shift double")
+    parts = min(max(sized.count() // PER_BIN, HASH_BINS[0]), HASH_BINS[1])
     size_bin = F.floor(8 * F.log2(F.col("n_tokens") + 1)).cast("int")
-    binned = sized.join(F.broadcast(rates), "source").withColumn("bin", size_bin).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(HASH_BINS)).cast("int"))
+    binned = sized.join(F.broadcast(rates), "source").withColumn("bin", size_bin).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(parts)).cast("int"))
     keys = ["source", "bin", "part"]
     # a row per (source, size bin, hash bin): bounded by the parameters, not by the documents
     before = binned.groupBy(*keys).count().withColumn("before", F.sum("count").over(W.partitionBy("source").orderBy("bin", "part")) - F.col("count")).drop("count")

@@ -293,3 +293,15 @@ def test_scores_of_nulls_long_and_held_out_texts(spark):
     right = sum(r.found == bool(r.y) for r in got.values())
     assert right >= 59 and got[102].found
     assert abuse.scored(df.limit(0), model, ["doc_id"]).count() == 0
+
+
+def test_models_are_saved_and_plain_texts_are_those_of_least_hash(spark, tmp_path, monkeypatch):
+    model = abuse.Model(gru.Network(3), [(0.25, 1.0), (0.5, 0.0)])
+    abuse.save_model(spark, model, str(tmp_path / "model"))
+    again = abuse.load_model(spark, str(tmp_path / "model"))
+    assert again.held == model.held and all((again.net.p[k] == v).all() for k, v in model.net.p.items())
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(500)] + [(900, None), (901, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, abusive int")
+    want = [r.text for r in docs.filter("doc_id between 20 and 499").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(30).collect()]
+    assert abuse.plain_texts(docs, labels, 30) == want
+    assert len(abuse.plain_texts(docs, labels, 3000)) == 480
