@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 VOWELS = "aeiou"
+_KIND = np.full(128, -1)
+for _i, _letters in enumerate(("aeiou", "pbmfvw", "tdnszrl", "kgqh", "jy")):  # fixed values: classes of letters
+    _KIND[[ord(c) for c in _letters]] = _i
 # Codes of numerals and fractions.
 FRACTIONS = {"½": 0.5, "⅓": 1 / 3, "¼": 0.25, "⅕": 0.2, "⅙": 1 / 6, "⅛": 0.125, "¾": 0.75}
 # The named consonant-vowel shapes.
@@ -101,18 +105,28 @@ def slash_hint(c: Column) -> Column:
 
 
 def reduplication(syllables: Column) -> Column:
-    """The first pattern that an array of syllables shows, or null."""
-    n = F.size(syllables)
-    at = lambda i: F.get(syllables, F.lit(i))
-    last = lambda i: F.get(syllables, n - i)
-    adjacent = F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.coalesce(F.get(syllables, i) == F.get(syllables, i - 1), F.lit(False)))
-    return (
-        F.when((n >= 4) & (at(0) == at(2)) & (at(1) == at(3)), "initial_pair_twice")
-        .when((n >= 2) & (at(0) == at(1)), "initial_twice")
-        .when((n >= 4) & (at(0) == last(1)) & (at(1) == last(2)), "mirrored_pair")
-        .when((n >= 3) & (at(0) == last(1)), "first_returns")
-        .when((n >= 2) & adjacent, "adjacent_twice")
-    )
+    """Names of all patterns that an array of syllables shows, in order; empty for none or null.
+
+    ``initial_disyllabic``: the first two again right after; ``initial_sign``: the
+    first again right after, of three or more; ``adjacent_pair``: three equal ones in
+    a row, not before the second; ``internal_disyllabic``: a pair again two or more
+    later, of five or more; ``initial_repeated``: the first again from the third on;
+    ``chiastic``: the first two mirrored at the end, of four or more.
+    """
+    s, n = syllables, F.size(syllables)
+    at = lambda i: F.get(s, i if isinstance(i, Column) else F.lit(i))
+    some = lambda lo, hi, test: F.exists(F.when(hi >= lo, F.sequence(F.lit(lo), hi)).otherwise(F.array().cast("array<int>")), test)
+    pair = lambda i, j: (at(i) == at(j)) & (at(i + 1) == at(j + 1))
+    later = lambda i: F.exists(F.when(n - 2 >= i + 2, F.sequence(i + 2, n - 2)).otherwise(F.array().cast("array<int>")), lambda j: pair(i, j))
+    rules = {
+        "initial_disyllabic": (n >= 4) & (at(0) == at(2)) & (at(1) == at(3)),
+        "initial_sign": (n >= 3) & (at(0) == at(1)),
+        "adjacent_pair": (n >= 4) & some(0, n - 4, lambda i: pair(i + 1, i + 2)),
+        "internal_disyllabic": (n >= 5) & some(0, n - 4, later),
+        "initial_repeated": (n >= 4) & F.array_contains(F.slice(s, 3, F.greatest(n, F.lit(1))), at(0)),
+        "chiastic": (n >= 4) & (at(0) == at(n - 1)) & (at(1) == at(n - 2)),
+    }
+    return F.array_compact(F.array(*(F.when(F.coalesce(r, F.lit(False)), F.lit(k)) for k, r in rules.items())))
 
 
 def xml_escape(c: Column) -> Column:
@@ -125,23 +139,29 @@ def file_name(c: Column) -> Column:
 
 @F.pandas_udf(DoubleType())
 def weighted_levenshtein(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Edit distance in which letters of one class (labial, dental, velar, vowel) replace each other at half cost."""
-    groups = ["aeiou", "pbmfvw", "tdnszrl", "kgqh", "jy"]
-    cls = {c: i for i, g in enumerate(groups) for c in g}
-
-    def one(x, y):
-        if x is None or y is None:
-            return None
-        prev = [float(j) for j in range(len(y) + 1)]
-        for i, c in enumerate(x, 1):
-            row = [float(i)]
-            for j, d in enumerate(y, 1):
-                swap = 0.0 if c == d else 0.5 if cls.get(c, -1) == cls.get(d, -2) else 1.0
-                row.append(min(prev[j] + 1, row[-1] + 1, prev[j - 1] + swap))
-            prev = row
-        return prev[-1]
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+    """Edit distance in which letters of one class (labial, dental, velar, vowel) replace each other at half cost.
+
+    Pairs of one size are measured together, cell by cell of their tables; null where either is null.
+    """
+    out = np.full(len(a), np.nan)
+    ok = np.flatnonzero((a.notna() & b.notna()).to_numpy())
+    x, y = a.to_numpy(object)[ok], b.to_numpy(object)[ok]
+    sizes = np.array([(len(p), len(q)) for p, q in zip(x, y, strict=True)], int).reshape(-1, 2)
+    for m, n in np.unique(sizes, axis=0):
+        rows = np.flatnonzero((sizes == (m, n)).all(1))
+        letters = lambda t, k: np.array([[ord(c) for c in t[r]] for r in rows], np.int64).reshape(len(rows), k)  # noqa: B023, E731
+        p, q = letters(x, m), letters(y, n)
+        kinds = [np.where(v < len(_KIND), _KIND[np.minimum(v, len(_KIND) - 1)], -1) for v in (p, q)]
+        row = np.tile(np.arange(n + 1, dtype=float), (len(rows), 1))
+        for i in range(m):
+            swap = np.where(p[:, i : i + 1] == q, 0.0, np.where((kinds[0][:, i : i + 1] == kinds[1]) & (kinds[1] >= 0), 0.5, 1.0))
+            now = np.empty_like(row)
+            now[:, 0] = i + 1
+            for j in range(n):
+                now[:, j + 1] = np.minimum(np.minimum(row[:, j + 1], now[:, j]) + 1, row[:, j] + swap[:, j])
+            row = now
+        out[ok[rows]] = row[:, n]
+    return pd.Series(out).where(~np.isnan(out), None)
 
 
 @F.pandas_udf(DoubleType())

@@ -36,14 +36,21 @@ def band_join(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     return a.join(b, ["seq_id", "bin"]).filter((F.abs(F.col("pos_a") - F.col("pos_b")) <= k) & (F.col("pos_a") != F.col("pos_b"))).drop("bin")
 
 
-def until_blocked(tokens: DataFrame, anchor: Column, blocker: Column, reach: int = 5) -> DataFrame:
-    """Tokens to the right of each anchor, at most ``reach`` away and before the first blocker."""
-    rows = neighbours(tokens.withColumn("stop", blocker), 0, reach, ["symbol", "stop"]).filter(anchor)
-    free, out = F.lit(True), []
-    for i in range(1, reach + 1):
-        free = free & F.col(f"symbol_p{i}").isNotNull() & ~F.coalesce(F.col(f"stop_p{i}"), F.lit(True))
-        out.append(F.when(free, F.col(f"symbol_p{i}")))
-    return rows.select("seq_id", "pos", "symbol", F.concat_ws(" ", *out).alias("right"))
+def until_blocked(tokens: DataFrame, anchor: Column, blocker: Column, wanted: Column, reach: int = 5) -> DataFrame:
+    """Wanted tokens on both sides of each anchor, in order, by ``raw_pos`` at most ``reach`` away and before the first blocker.
+
+    Other tokens and missing positions are passed over.
+    """
+    rows = neighbours(tokens.withColumns({"stop": F.coalesce(blocker, F.lit(False)), "want": F.coalesce(wanted, F.lit(False))}), reach, reach, ["symbol", "raw_pos", "stop", "want"]).filter(anchor)
+    sides = {}
+    for side in "mp":
+        free, out = F.lit(True), []
+        for i in range(1, reach + 1):
+            near = F.coalesce(F.abs(F.col(f"raw_pos_{side}{i}") - F.col("raw_pos")) <= reach, F.lit(False))
+            free = free & near & ~F.col(f"stop_{side}{i}")
+            out.append(F.when(free & F.col(f"want_{side}{i}"), F.col(f"symbol_{side}{i}")))
+        sides[side] = F.concat_ws(" ", *(reversed(out) if side == "m" else out))
+    return rows.select("seq_id", "pos", "symbol", sides["m"].alias("left"), sides["p"].alias("right"))
 
 
 def neighbour_profile(tokens: DataFrame, anchor: Column, k: int = 3, top: int = 10) -> DataFrame:
@@ -93,13 +100,16 @@ def enrichment(counts: DataFrame, least: int = 3) -> DataFrame:
 
 
 def contingency(rows: DataFrame, flag_a: Column, flag_b: Column) -> DataFrame:
-    """2 x 2 counts, both rates, their ratio, and the probability of this very table."""
+    """2 x 2 counts, both rates, their ratio, the probability of this very table, and of all tables no likelier (two-sided test)."""
     a, b = F.coalesce(flag_a, F.lit(False)), F.coalesce(flag_b, F.lit(False))
     n = rows.agg(F.count_if(a & b).alias("n11"), F.count_if(a & ~b).alias("n10"), F.count_if(~a & b).alias("n01"), F.count_if(~a & ~b).alias("n00"))
     ra, rb = F.try_divide("n11", F.col("n11") + F.col("n10")), F.try_divide("n01", F.col("n01") + F.col("n00"))
     total = F.col("n11") + F.col("n10") + F.col("n01") + F.col("n00")
-    pmf = hypergeom_pmf(F.col("n11"), total, F.col("n11") + F.col("n01"), F.col("n11") + F.col("n10"))
-    return n.select("n11", "n10", "n01", "n00", r6(ra).alias("rate_a"), r6(rb).alias("rate_not_a"), r6(F.try_divide(ra, rb)).alias("enrichment"), F.round(pmf, 8).alias("table_probability"))
+    marked, drawn = F.col("n11") + F.col("n01"), F.col("n11") + F.col("n10")
+    pmf = hypergeom_pmf(F.col("n11"), total, marked, drawn)
+    every = F.transform(F.sequence(F.greatest(marked + drawn - total, F.lit(0)), F.least(marked, drawn)), lambda k: hypergeom_pmf(k, total, marked, drawn))
+    two = F.aggregate(F.filter(every, lambda p: p <= pmf * (1 + 1e-7)), F.lit(0.0), lambda x, p: x + p)
+    return n.select("n11", "n10", "n01", "n00", r6(ra).alias("rate_a"), r6(rb).alias("rate_not_a"), r6(F.try_divide(ra, rb)).alias("enrichment"), F.round(pmf, 8).alias("table_probability"), F.round(F.least(two, F.lit(1.0)), 6).alias("two_sided"))
 
 
 def rule_accuracy(rows: DataFrame, rule: Column, truth: Column) -> DataFrame:
@@ -131,7 +141,7 @@ QUERIES = {
     "context_window_wide": lambda s, d: wide_context(all_tokens(s, d), F.col("kind") == "logogram").drop("raw_pos", "kind", "translit", "character"),
     "padded_windows": lambda s, d: masked_context(all_tokens(s, d)),
     "band_join_pm5": lambda s, d: band_join(all_tokens(s, d).filter(_LOGO), all_tokens(s, d).filter("kind = 'numeral'"), 5),
-    "blocker_scan": lambda s, d: until_blocked(all_tokens(s, d), F.col("kind") == "logogram", F.col("kind").isin("logogram", "fraction", "numeral")),
+    "blocker_scan": lambda s, d: until_blocked(all_tokens(s, d), F.col("kind") == "logogram", F.col("kind").isin("logogram", "fraction", "numeral"), F.col("kind") == "syllabogram"),
     "neighbour_profile": lambda s, d: neighbour_profile(all_tokens(s, d), F.col("kind") == "logogram"),
     "class_distinctiveness": lambda s, d: distinctiveness(slots(all_tokens(s, d), F.col("kind") == "logogram", F.substring("translit", 1, 3))),
     "hypergeom_enrichment": lambda s, d: enrichment(slots(all_tokens(s, d), F.col("kind") == "logogram", F.substring("translit", 1, 3), sides="after")),
@@ -158,8 +168,11 @@ SQL = {
     "padded_windows": TOKENS_SQL + f"SELECT seq_id, pos, symbol AS target, {_PAD} AS window FROM tok {_W}",
     "band_join_pm5": TOKENS_SQL + "SELECT x.seq_id, x.pos AS pos_a, x.symbol AS a, y.pos AS pos_b, y.symbol AS b FROM tok x JOIN tok y ON x.seq_id = y.seq_id AND abs(x.pos - y.pos) <= 5 WHERE x.kind = 'logogram' AND y.kind = 'numeral'",
     "blocker_scan": TOKENS_SQL
-    + """, st AS (SELECT *, CASE WHEN kind IN ('logogram', 'fraction', 'numeral') THEN pos END AS bp FROM tok), nx AS (SELECT *, min(bp) OVER (PARTITION BY seq_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nb FROM st)
-SELECT x.seq_id, x.pos, x.symbol, coalesce(string_agg(y.symbol, ' ' ORDER BY y.pos), '') AS right FROM nx x LEFT JOIN tok y ON y.seq_id = x.seq_id AND y.pos BETWEEN x.pos + 1 AND x.pos + 5 AND y.pos < coalesce(x.nb, 1e18) WHERE x.kind = 'logogram' GROUP BY ALL""",
+    + """, an AS (SELECT seq_id, pos, raw_pos, symbol FROM tok WHERE kind = 'logogram'),
+nr AS (SELECT x.seq_id, x.pos, x.raw_pos, y.raw_pos - x.raw_pos AS d, y.symbol, y.kind FROM an x JOIN tok y ON y.seq_id = x.seq_id AND abs(y.raw_pos - x.raw_pos) BETWEEN 1 AND 5),
+bl AS (SELECT seq_id, pos, coalesce(min(d) FILTER (d > 0), 6) AS hi, coalesce(max(d) FILTER (d < 0), -6) AS lo FROM nr WHERE kind IN ('logogram', 'fraction', 'numeral') GROUP BY ALL),
+ok AS (SELECT nr.* FROM nr LEFT JOIN bl USING (seq_id, pos) WHERE kind = 'syllabogram' AND d < coalesce(hi, 6) AND d > coalesce(lo, -6))
+SELECT an.seq_id, an.pos, an.symbol, coalesce(string_agg(ok.symbol, ' ' ORDER BY d) FILTER (d < 0), '') AS left, coalesce(string_agg(ok.symbol, ' ' ORDER BY d) FILTER (d > 0), '') AS right FROM an LEFT JOIN ok USING (seq_id, pos) GROUP BY ALL""",
     "neighbour_profile": TOKENS_SQL
     + _WIDE
     + ", e AS ("
@@ -176,7 +189,8 @@ k AS (SELECT *, unnest(range(n, CAST(least(nc, ns) AS BIGINT) + 1)) AS k FROM f)
 SELECT cls, symbol, n, round(least(p, 1), 5) AS p_value, round(n * t / (nc * ns), 9) AS fold, p < 0.05 / (SELECT count(*) FROM f) AS family_wise FROM p""",
     "contingency_rates": f"""WITH c AS (SELECT count(*) FILTER (a AND b) AS n11, count(*) FILTER (a AND NOT b) AS n10, count(*) FILTER (NOT a AND b) AS n01, count(*) FILTER (NOT a AND NOT b) AS n00 FROM (SELECT o_orderstatus = 'F' AS a, o_orderpriority = '1-URGENT' AS b FROM orders)),
 d AS (SELECT *, n11 AS k, n11 + n01 AS ns, n11 + n10 AS nc, n11 + n10 + n01 + n00 AS t FROM c)
-SELECT n11, n10, n01, n00, round(n11 / nc, 6) AS rate_a, round(n01 / (n01 + n00), 6) AS rate_not_a, round((n11 / nc) / (n01 / (n01 + n00)), 6) AS enrichment, round({_PMF}, 8) AS table_probability FROM d""",
+SELECT n11, n10, n01, n00, round(n11 / nc, 6) AS rate_a, round(n01 / (n01 + n00), 6) AS rate_not_a, round((n11 / nc) / (n01 / (n01 + n00)), 6) AS enrichment, round({_PMF}, 8) AS table_probability,
+round(least((SELECT sum(q) FROM (SELECT {_PMF} AS q FROM (SELECT ns, nc, t, unnest(range(CAST(greatest(ns + nc - t, 0) AS BIGINT), CAST(least(ns, nc) AS BIGINT) + 1)) AS k FROM d)) WHERE q <= (SELECT {_PMF} FROM d) * (1 + 1e-7)), 1), 6) AS two_sided FROM d""",
     "rule_vs_majority": "SELECT n, round(acc, 6) AS accuracy, round(greatest(share, 1 - share), 6) AS majority, round(acc - greatest(share, 1 - share), 6) AS lift FROM (SELECT count(*) AS n, avg(CAST((l_quantity > 25) = (l_returnflag = 'R') AS INT)) AS acc, avg(CAST(l_returnflag = 'R' AS INT)) AS share FROM lineitem)",
     "class_steps": TOKENS_SQL + f", s AS (SELECT kind, symbol, lead(symbol) OVER w AS next, lead(kind) OVER w AS nk FROM tok {_W}) SELECT symbol, next, count(*) AS n FROM s WHERE kind = 'syllabogram' AND nk = 'logogram' GROUP BY ALL",
     "affix_neighbours": TOKENS_SQL

@@ -115,24 +115,54 @@ def dictionary_violations(sign_list: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [many("bennett_id", "repeated id"), many("unicode", "repeated code point"), shape, differ]).filter("value is not null")
 
 
+# Words of object types and materials that tell a text's class.
+SACRED_MATERIALS = ["stone", "metal", "gold", "silver", "bronze", "marble"]
+SACRED_OBJECTS = ["votive", "altar", "dedication", "libation", "table", "offering", "vessel", "cup", "bowl", "ring", "seal", "pendant", "statuette", "figurine", "double axe", "sacred", "temple"]
+OFFICE_OBJECTS = ["tablet", "page-shaped", "palm-leaf", "roundel", "sealing", "label", "nodule", "bar", "account", "ledger"]
+# Whole object types of the other classification.
+OFFICE_TYPES = ["tablet (page-shaped)", "roundel", "Nodule", "Lames (short thin tablet)", "Label", "4-sided bar", "Clay vessel", "metal object", "ivory object"]
+SACRED_TYPES = ["stone vessel", "Stone object", "Graffito"]
+# What an object type says about its material, the first hit counts.
+MATERIALS = [(("tablet", "roundel", "sealing"), "clay"), (("stone", "libation"), "stone"), (("metal",), "metal"), (("bone",), "bone"), (("ivory",), "ivory"), (("fresco",), "fresco/plaster"), (("pottery", "vase", "vessel"), "pottery/ceramic")]
+# Hints in a transliteration, and sign numbers of known commodities.
+COMMODITY_HINTS = [("VIN", "WINE"), ("OLE", "OLIVE_OIL"), ("OLIV", "OLIVES"), ("GRA", "GRAIN"), ("TELA", "CLOTH"), ("VIR", "MANPOWER"), ("CAP", "LIVESTOCK"), ("HIDE", "HIDES"), ("AROM", "AROMATICS")]
+COMMODITY_SIGNS = {
+    "PERSONNEL": [301], "LIVESTOCK": [302, 303, 304, 305, 306, 307], "HIDES": [308], "GRAIN": [309, 364, 386, 399, 400, 402], "WINE": [310], "OLIVE_OIL": [311, 381], "VESSELS": [327, 333, 335, 338, 339], "MANPOWER": [394, 395],
+}
+
+
 def text_class(object_type: Column, material: Column) -> Column:
-    """administrative, ritual, or other, from the words of object type and material."""
-    words = F.split(F.lower(F.concat_ws(" ", object_type, material)), r"[^\p{L}]+")
-    some = lambda *w: F.arrays_overlap(words, F.array(*map(F.lit, w)))
-    return F.when(some("tablet", "nodule", "roundel", "sealing", "label", "bar"), "administrative").when(some("libation", "table", "axe", "ladle", "figurine", "vessel", "bowl"), "ritual").otherwise("other")
+    """religious, administrative or unknown: by material, then by the words of the object type; clay is administrative."""
+    m = F.lower(F.coalesce(material, F.lit("")))
+    words = F.split(F.lower(F.coalesce(object_type, F.lit(""))), r"[\s()-]+")
+    some = lambda w: F.arrays_overlap(words, F.array(*map(F.lit, w)))
+    return F.when(m.isin(SACRED_MATERIALS) | some(SACRED_OBJECTS), "religious").when(some(OFFICE_OBJECTS) | (m == "clay"), "administrative").otherwise("unknown")
+
+
+def object_class(object_type: Column) -> Column:
+    """The other classification, by whole object types."""
+    return F.when(object_type.isin(OFFICE_TYPES), "administrative").when(object_type.isin(SACRED_TYPES), "religious/dedicatory").otherwise("other")
 
 
 def guess_material(object_type: Column) -> Column:
+    """The material that an object type suggests; null for none."""
     t = F.lower(object_type)
-    has = lambda *w: reduce(lambda a, b: a | b, [t.contains(x) for x in w])
-    return F.when(has("libation", "stone", "ladle"), "stone").when(has("axe", "pin", "ring"), "metal").when(has("tablet", "nodule", "roundel", "sealing", "jar"), "clay").otherwise("unknown")
+    out = F.lit(None).cast("string")
+    for hints, name in reversed(MATERIALS):
+        out = F.when(reduce(lambda a, b: a | b, [t.contains(x) for x in hints]), name).otherwise(out)
+    return out
 
 
 def commodity_class(code: Column, text: Column) -> Column:
-    """Class of a commodity from the hints in its code or transliteration."""
-    t = F.upper(F.coalesce(text, F.lit("")))
-    has = lambda *w: reduce(lambda a, b: a | b, [t.contains(x) for x in w])
-    return F.when(has("OLV", "OLE", "OIL"), "oil").when(has("GRA", "FAR", "CER"), "grain").when(has("VIN", "WINE"), "wine").when(has("BOV", "SUS", "OVI", "CAP"), "livestock").when(has("VAS") | code.startswith("VASE"), "vessel").otherwise("other")
+    """Class of a commodity: hints in the transliteration, vessels by their code, then known sign numbers."""
+    t = F.upper(F.trim(F.coalesce(text, F.lit(""))))
+    out = F.when(code.startswith("A 3"), "UNKNOWN_COMMODITY").otherwise("UNCLASSIFIED")
+    for name, numbers in COMMODITY_SIGNS.items():
+        out = F.when(code.isin([f"A {n}" for n in numbers]), name).otherwise(out)
+    out = F.when(code.startswith("VASE"), "VESSELS").otherwise(out)
+    for hint, name in reversed(COMMODITY_HINTS):
+        out = F.when(t.contains(hint), name).otherwise(out)
+    return out
 
 
 def uncertain(value: Column) -> Column:
@@ -176,7 +206,7 @@ QUERIES = {
     "set_intersect": lambda s, d: _by_year(s, d, 1996).intersect(_by_year(s, d, 1997)),
     "set_difference": lambda s, d: _by_year(s, d, 1996).subtract(_by_year(s, d, 1997)),
     "dictionary_check": lambda s, d: dictionary_violations(table(s, d, "sign_list")),
-    "text_class": lambda s, d: _ins(s, d).select("id", text_class(F.col("object_type"), F.col("material")).alias("cls"), guess_material(F.col("object_type")).alias("guess")),
+    "text_class": lambda s, d: _ins(s, d).select("id", text_class(F.col("object_type"), F.col("material")).alias("cls"), object_class(F.col("object_type")).alias("object_cls"), guess_material(F.col("object_type")).alias("guess")),
     "commodity_class": lambda s, d: table(s, d, "sign_list").select("bennett_id", commodity_class(F.col("bennett_id"), F.col("transliteration")).alias("cls")),
     "sites_like": lambda s, d: sites_like(_spots(s, d), ["ar", "ko"]),
     "uncertain_values": lambda s, d: table(s, d, "signs").select("id", uncertain(F.col("transliteration")).alias("unsure"), strip_uncertain(F.col("transliteration")).alias("bare")).distinct(),
@@ -186,7 +216,8 @@ QUERIES = {
 _INS_SQL = """WITH i0 AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, gorila_id DESC NULLS LAST, findspot_id DESC NULLS LAST, minoan_period DESC NULLS LAST, material DESC NULLS LAST, object_type DESC NULLS LAST) AS r FROM inscriptions),
 ins AS (SELECT * FROM i0 WHERE r = 1), sp AS (SELECT id AS sid, min(site) AS site FROM findspots GROUP BY id)
 """
-_WORDS = "regexp_split_to_array(lower(concat_ws(' ', object_type, material)), '[^\\p{L}]+')"
+_WORDS = "regexp_split_to_array(lower(coalesce(object_type, '')), '[\\s()-]+')"
+_Q = lambda xs: ", ".join(f"'{x}'" for x in xs)
 SQL = {
     "point_lookup": _INS_SQL + "SELECT id, gorila_id, site FROM ins LEFT JOIN sp ON sid = findspot_id WHERE id = 1010",
     "search_conjunctive": _INS_SQL + "SELECT id, site, material FROM ins LEFT JOIN sp ON sid = findspot_id WHERE lower(site) LIKE '%ar%' AND minoan_period = 'LM IB' AND lower(material) LIKE '%clay%'",
@@ -208,9 +239,11 @@ UNION ALL SELECT unicode, 'repeated code point' FROM sign_list GROUP BY 1 HAVING
 UNION ALL SELECT unicode, 'malformed' FROM sign_list WHERE NOT regexp_full_match(unicode, 'U\\+[0-9A-F]{4,6}')
 UNION ALL SELECT bennett_id, 'differs' FROM sign_list WHERE regexp_full_match(unicode, 'U\\+[0-9A-F]{4,6}') AND CAST('0x' || substr(unicode, 3) AS BIGINT) <> unicode(character)) WHERE value IS NOT NULL""",
     "text_class": _INS_SQL
-    + f"""SELECT id, CASE WHEN list_has_any({_WORDS}, ['tablet', 'nodule', 'roundel', 'sealing', 'label', 'bar']) THEN 'administrative' WHEN list_has_any({_WORDS}, ['libation', 'table', 'axe', 'ladle', 'figurine', 'vessel', 'bowl']) THEN 'ritual' ELSE 'other' END AS cls,
-CASE WHEN regexp_matches(lower(object_type), 'libation|stone|ladle') THEN 'stone' WHEN regexp_matches(lower(object_type), 'axe|pin|ring') THEN 'metal' WHEN regexp_matches(lower(object_type), 'tablet|nodule|roundel|sealing|jar') THEN 'clay' ELSE 'unknown' END AS guess FROM ins""",
-    "commodity_class": """SELECT bennett_id, CASE WHEN regexp_matches(t, 'OLV|OLE|OIL') THEN 'oil' WHEN regexp_matches(t, 'GRA|FAR|CER') THEN 'grain' WHEN regexp_matches(t, 'VIN|WINE') THEN 'wine' WHEN regexp_matches(t, 'BOV|SUS|OVI|CAP') THEN 'livestock' WHEN t LIKE '%VAS%' OR bennett_id LIKE 'VASE%' THEN 'vessel' ELSE 'other' END AS cls FROM (SELECT bennett_id, upper(coalesce(transliteration, '')) AS t FROM sign_list)""",
+    + f"""SELECT id, CASE WHEN lower(coalesce(material, '')) IN ({_Q(SACRED_MATERIALS)}) OR list_has_any({_WORDS}, [{_Q(SACRED_OBJECTS)}]) THEN 'religious' WHEN list_has_any({_WORDS}, [{_Q(OFFICE_OBJECTS)}]) OR lower(material) = 'clay' THEN 'administrative' ELSE 'unknown' END AS cls,
+CASE WHEN object_type IN ({_Q(OFFICE_TYPES)}) THEN 'administrative' WHEN object_type IN ({_Q(SACRED_TYPES)}) THEN 'religious/dedicatory' ELSE 'other' END AS object_cls,
+CASE {' '.join(f"WHEN regexp_matches(lower(object_type), '{'|'.join(h)}') THEN '{n}'" for h, n in MATERIALS)} END AS guess FROM ins""",
+    "commodity_class": f"""SELECT bennett_id, CASE {' '.join(f"WHEN contains(t, '{h}') THEN '{n}'" for h, n in COMMODITY_HINTS)} WHEN bennett_id LIKE 'VASE%' THEN 'VESSELS'
+{' '.join(f"WHEN bennett_id IN ({_Q([f'A {x}' for x in v])}) THEN '{n}'" for n, v in COMMODITY_SIGNS.items())} WHEN bennett_id LIKE 'A 3%' THEN 'UNKNOWN_COMMODITY' ELSE 'UNCLASSIFIED' END AS cls FROM (SELECT bennett_id, upper(trim(coalesce(transliteration, ''), ' ')) AS t FROM sign_list)""",
     "sites_like": "SELECT * FROM (SELECT id, min(site) AS site FROM findspots GROUP BY id) WHERE lower(site) LIKE '%ar%' OR lower(site) LIKE '%ko%'",
     "uncertain_values": "SELECT DISTINCT id, transliteration IS NULL OR trim(transliteration, ' ') = '' OR contains(transliteration, '?') AS unsure, nullif(trim(regexp_replace(transliteration, '\\?+\\s*$', ''), ' '), '') AS bare FROM signs",
     "price_segments": "SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice), 6) AS mean_price FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000 GROUP BY 1",

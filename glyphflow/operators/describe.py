@@ -106,8 +106,8 @@ def shuffle_null(tokens: DataFrame, reps: int = 5, seed: int = 7) -> DataFrame:
 
     out = [neighbours(tokens, 0, 1, ["symbol"]).agg(F.lit(0).alias("rep"), F.count_if(F.col("symbol") == F.col("symbol_p1")).alias("repeats"))]
     for r in range(1, reps + 1):
-        mixed = tokens.select("seq_id", "symbol", F.abs(F.xxhash64("seq_id", "pos", F.lit(seed), F.lit(r)) % (1 << 40)).alias("raw_pos"))
-        out.append(neighbours(dense(mixed, 1 << 36), 0, 1, ["symbol"]).agg(F.lit(r).alias("rep"), F.count_if(F.col("symbol") == F.col("symbol_p1")).alias("repeats")))
+        mixed = tokens.select("seq_id", "symbol", (unit_draw(F.lit(str(seed)), F.lit(str(r)), "seq_id", "pos") * F.lit(float(16**12))).cast("long").alias("raw_pos"))
+        out.append(neighbours(dense(mixed, 1 << 44), 0, 1, ["symbol"]).agg(F.lit(r).alias("rep"), F.count_if(F.col("symbol") == F.col("symbol_p1")).alias("repeats")))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -155,4 +155,7 @@ dr AS (SELECT id // 10 AS rep, id // 2 % 5 AS q, id % 2 AS i FROM range(10000) t
 md AS (SELECT rep, q, string_agg(symbol, '-' ORDER BY i) AS gram FROM du JOIN cu ON u >= lo AND u < hi GROUP BY ALL), h AS (SELECT rep, count(*) AS hits FROM md WHERE gram IN (SELECT gram FROM sn) GROUP BY rep),
 e AS (SELECT coalesce(hits, 0) AS hits FROM range(1000) r(rep) LEFT JOIN h USING (rep)), o AS (SELECT count(*) AS observed FROM q WHERE gram IN (SELECT gram FROM sn))
 SELECT observed, round(avg(hits), 5) AS expected, round(avg(CAST(hits >= observed AS INT)), 6) AS p_value, round((sum(CAST(hits >= observed AS INT)) + 1) / 1001, 6) AS p_corrected FROM e, o GROUP BY observed""",
+    "shuffle_null": TOKENS_SQL
+    + """, md AS (SELECT seq_id, symbol, rep, CASE WHEN rep = 0 THEN pos ELSE CAST('0x' || substr(md5('7|' || rep || '|' || seq_id || '|' || pos), 1, 12) AS BIGINT) END AS o FROM tok, range(6) r(rep)),
+n AS (SELECT rep, symbol = lead(symbol) OVER (PARTITION BY rep, seq_id ORDER BY o) AS same FROM md) SELECT CAST(rep AS INT) AS rep, count(*) FILTER (same) AS repeats FROM n GROUP BY rep""",
 }

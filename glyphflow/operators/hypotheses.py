@@ -276,4 +276,32 @@ kn AS (SELECT bennett_id AS symbol, coalesce(nullif(regexp_extract(lower(transli
 r AS (SELECT *, CAST('0x' || substr(md5('3|' || trial || '|' || symbol), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE < 0.2 AS hid FROM kn, range(4) t(trial)),
 v AS (SELECT trial, l.a AS symbol, cls, sum(weight) AS w FROM l JOIN r ON r.symbol = l.b WHERE NOT hid GROUP BY ALL), b AS (SELECT trial, symbol, cls AS guess FROM v QUALIFY row_number() OVER (PARTITION BY trial, symbol ORDER BY w DESC, cls DESC) = 1)
 SELECT r.trial, count(*) AS hidden, count(*) FILTER (guess = cls) AS restored, round(count(*) FILTER (guess = cls) / count(*), 6) AS recovery, round(1 / (SELECT count(DISTINCT cls) FROM kn), 6) AS chance FROM r LEFT JOIN b USING (trial, symbol) WHERE hid GROUP BY r.trial""",
+    "before_after": TOKENS_SQL
+    + ", b AS (SELECT seq_id, pos, translit AS v, symbol FROM syl), a AS (SELECT seq_id, pos, CASE symbol WHEN 'AB 73' THEN 'xa' WHEN 'AB 14' THEN 'strem' ELSE v END AS v FROM b)"
+    + "".join(
+        f", {x}q AS (SELECT v, regexp_replace(translate(regexp_replace(lower(v), '[^\\p{{L}}]', '', 'g'), 'aeiou', 'VVVVV'), '[^V]', 'C', 'g') AS q, v || '|' || lead(v) OVER (PARTITION BY seq_id ORDER BY pos) AS g FROM {x}), {x}g AS (SELECT g, count(*) AS n FROM {x}q WHERE g IS NOT NULL GROUP BY g),"
+        f" {x}m AS (SELECT 'cv' AS metric, round(avg(CASE WHEN q <> '' THEN CAST(q IN ('V', 'CV') AS INT) END), 6) AS x FROM {x}q UNION ALL SELECT 'types', count(DISTINCT v) FROM {x}q UNION ALL SELECT 'bigram_entropy', round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) FROM {x}g)"
+        for x in "ba"
+    )
+    + " SELECT metric, bm.x AS before, am.x AS after, round(am.x - bm.x, 6) AS change FROM bm JOIN am USING (metric)",
+    "completion_score": TOKENS_SQL
+    + """, r AS (SELECT seq_id, pos, regexp_extract(lower(transliteration), '^([^aeiou\\d]*)', 1) AS c, coalesce(nullif(regexp_extract(lower(transliteration), '([aeiou])', 1), ''), '-') AS v FROM syl JOIN sign_list ON bennett_id = symbol AND sign_type = 'syllabogram'),
+st AS (SELECT *, lead(c) OVER (PARTITION BY seq_id ORDER BY pos) AS nx FROM r), fe AS (SELECT count(*) AS n FROM st WHERE nx IS NULL GROUP BY v),
+fg AS (SELECT c, nx, CAST('0x' || substr(md5('1|' || seq_id), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE < 0.2 AS held FROM st WHERE nx IS NOT NULL),
+sn AS (SELECT c, nx, count(*) AS n FROM fg WHERE NOT held GROUP BY ALL), sc AS (SELECT c, sum(n) AS t FROM sn GROUP BY c), pb AS (SELECT c, nx, count(*) AS m FROM fg WHERE held GROUP BY ALL),
+tp AS (SELECT n, row_number() OVER (ORDER BY n DESC, c) AS k FROM (SELECT c, count(*) AS n FROM r WHERE pos = 0 GROUP BY c))
+SELECT (SELECT round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) FROM fe) AS final_entropy, (SELECT round(-sum(m * log2((coalesce(n, 0) + 1) / (coalesce(t, 0) + (SELECT count(DISTINCT c) FROM r)))) / sum(m), 6) FROM pb LEFT JOIN sn USING (c, nx) LEFT JOIN sc USING (c)) AS held_out_bits,
+(SELECT round(sum(n) FILTER (k <= 3) / sum(n), 6) FROM tp) AS top3_share""",
+    "bootstrap_fixpoint": TOKENS_SQL
+    + _LINKS
+    + ", l AS (SELECT a, b, weight FROM lk WHERE side = 'C' AND shared >= 3 UNION ALL SELECT b, a, weight FROM lk WHERE side = 'C' AND shared >= 3), s0 AS MATERIALIZED (SELECT bennett_id AS symbol, coalesce(nullif(regexp_extract(lower(transliteration), '([aeiou])', 1), ''), '-') AS cls, 0 AS cycle FROM sign_list WHERE sign_type = 'syllabogram' AND bennett_id < 'AB 30')"
+    + "".join(
+        f", s{i} AS MATERIALIZED (SELECT * FROM s{i - 1} UNION ALL SELECT a, cls, {i} FROM (SELECT a, cls, w, sum(w) OVER (PARTITION BY a) AS t FROM (SELECT l.a, s.cls, sum(weight) AS w FROM l JOIN s{i - 1} s ON s.symbol = l.b WHERE l.a NOT IN (SELECT symbol FROM s{i - 1}) GROUP BY ALL)"
+        f" QUALIFY row_number() OVER (PARTITION BY a ORDER BY w DESC, cls DESC) = 1) WHERE w >= {max(0.60 - 0.05 * (i - 1), 0.45)!r}::DOUBLE * t)"
+        for i in range(1, 21)
+    )
+    + " SELECT symbol, cls, CAST(cycle AS INT) AS cycle FROM s20",
+    "random_completion": """WITH o AS (SELECT bennett_id AS symbol FROM sign_list WHERE sign_type = 'syllabogram'), d AS (SELECT symbol, t, ['a', 'e', 'i', 'o', 'u'][CAST(floor(CAST('0x' || substr(md5('5|' || t || '|' || symbol), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE * 5) AS INT) + 1] AS candidate FROM o, range(50) r(t)),
+b AS (SELECT t FROM (SELECT t, sum(length(symbol || candidate) + CASE WHEN candidate = 'a' THEN 1 ELSE 0 END) AS total FROM d GROUP BY t) ORDER BY total DESC, t LIMIT 5), v AS (SELECT symbol, candidate, count(*) AS votes FROM d WHERE t IN (SELECT t FROM b) GROUP BY ALL)
+SELECT symbol, candidate, votes FROM v QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY votes DESC, candidate DESC) = 1""",
 }

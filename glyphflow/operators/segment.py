@@ -189,4 +189,6 @@ SQL = {
     "segment_consensus": _T + "SELECT seq_id, pos, votes, round(votes / 3, 6) AS confidence FROM vt",
     "segmentation_f1": _T + " UNION ALL ".join(_f1(*x) for x in (("bigram", "bg"), ("position", "ps"), ("entropy", "en"), ("vote", "vt"))),
     "longest_words": _T + _WRD + "SELECT seq_id, first_pos, last_pos - first_pos + 1 AS length FROM wo ORDER BY length DESC, seq_id, first_pos LIMIT 40",
+    "segment_viterbi": _T
+    + "SELECT seq_id, pos + 1 AS pos FROM stp JOIN cc USING (a, b) JOIN fl x ON x.symbol = a JOIN fl y ON y.symbol = b, (SELECT sum(f) AS heads, count(*) AS size FROM fl) WHERE (cc.n + 0.01::DOUBLE) * (heads + 0.01::DOUBLE * size) <= (y.f + 0.01::DOUBLE) * (x.n + 0.01::DOUBLE * size)",
 }

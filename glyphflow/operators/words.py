@@ -58,7 +58,7 @@ QUERIES = {
     "word_frequency": lambda s, d: _types(s, d),
     "word_length_distribution": lambda s, d: length_distribution(_types(s, d)),
     "paradigms": lambda s, d: paradigms(_types(s, d)),
-    "reduplication": lambda s, d: _types(s, d).select("word", F.coalesce(T.reduplication(F.split("word", "-")), F.lit("-")).alias("pattern")),
+    "reduplication": lambda s, d: _types(s, d).select("word", F.concat_ws(",", T.reduplication(F.split("word", "-"))).alias("patterns")),
     "weighted_levenshtein": lambda s, d: _doc_words(s, d).select("w", T.weighted_levenshtein(F.col("w"), F.lit("stone")).alias("cost"), r6(T.letter_jaccard(F.col("w"), F.lit("stone"))).alias("letters")),
 }
 
@@ -89,6 +89,15 @@ UNION ALL SELECT 'prefix', k, array_to_string(p[k + 1:n_signs], '-'), array_to_s
 SELECT side, size, root, count(DISTINCT affix) AS affixes FROM e GROUP BY ALL HAVING count(DISTINCT affix) >= 2""",
     "reduplication": _WT
     + """, p AS (SELECT word, string_split(word, '-') AS p FROM ty), q AS (SELECT *, len(p) AS n FROM p)
-SELECT word, CASE WHEN n >= 4 AND p[1] = p[3] AND p[2] = p[4] THEN 'initial_pair_twice' WHEN n >= 2 AND p[1] = p[2] THEN 'initial_twice' WHEN n >= 4 AND p[1] = p[n] AND p[2] = p[n - 1] THEN 'mirrored_pair'
-WHEN n >= 3 AND p[1] = p[n] THEN 'first_returns' WHEN n >= 2 AND len(list_filter(range(2, n + 1), lambda i: p[i] = p[i - 1])) > 0 THEN 'adjacent_twice' ELSE '-' END AS pattern FROM q""",
+SELECT word, concat_ws(',', CASE WHEN n >= 4 AND p[1:2] = p[3:4] THEN 'initial_disyllabic' END, CASE WHEN n >= 3 AND p[1] = p[2] THEN 'initial_sign' END,
+CASE WHEN n >= 4 AND len(list_filter(range(1, n - 2), lambda i: p[i + 1:i + 2] = p[i + 2:i + 3])) > 0 THEN 'adjacent_pair' END,
+CASE WHEN n >= 5 AND len(list_filter(range(1, n - 2), lambda i: len(list_filter(range(i + 2, n), lambda j: p[i:i + 1] = p[j:j + 1])) > 0)) > 0 THEN 'internal_disyllabic' END,
+CASE WHEN n >= 4 AND list_contains(p[3:n], p[1]) THEN 'initial_repeated' END, CASE WHEN n >= 4 AND p[1] = p[n] AND p[2] = p[n - 1] THEN 'chiastic' END) AS patterns FROM q""",
+    "weighted_levenshtein": _DW.replace("WITH w", "WITH RECURSIVE w")
+    + """, dp(x, i, j, prev, cur) AS (SELECT w, 1, 1, [0.0::DOUBLE, 1, 2, 3, 4, 5], [1.0::DOUBLE] FROM dw UNION ALL
+SELECT x, CASE WHEN j < 5 THEN i ELSE i + 1 END, CASE WHEN j < 5 THEN j + 1 ELSE 1 END, CASE WHEN j < 5 THEN prev ELSE list_append(cur, cell) END, CASE WHEN j < 5 THEN list_append(cur, cell) ELSE [(i + 1)::DOUBLE] END
+FROM (SELECT *, least(prev[j + 1] + 1, cur[j] + 1, prev[j] + CASE WHEN a = b THEN 0 WHEN k(a) = k(b) THEN 0.5::DOUBLE ELSE 1 END) AS cell FROM (SELECT *, substr(x, i, 1) AS a, substr('stone', j, 1) AS b FROM dp WHERE i <= length(x))))
+SELECT dp.x AS w, prev[6] AS cost, round(len(list_intersect(list_distinct(string_split(dp.x, '')), ['s', 't', 'o', 'n', 'e'])) / len(list_distinct(list_concat(string_split(dp.x, ''), ['s', 't', 'o', 'n', 'e']))), 6) AS letters FROM dp WHERE i = length(x) + 1""".replace(
+        "k(a) = k(b)", "(SELECT min(g) FROM (VALUES (1, 'aeiou'), (2, 'pbmfvw'), (3, 'tdnszrl'), (4, 'kgqh'), (5, 'jy')) v(g, s) WHERE contains(s, a)) = (SELECT min(g) FROM (VALUES (1, 'aeiou'), (2, 'pbmfvw'), (3, 'tdnszrl'), (4, 'kgqh'), (5, 'jy')) v(g, s) WHERE contains(s, b))"
+    ),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = [f"operators.{m}" for m in ("tree", "orphans", "ngrams", "positional", "cooc", "corpus", "context", "words", "matching", "segment", "graph", "describe", "evidence", "neighbors", "exchange", "hypotheses")]
+MODULES = [f"operators.{m}" for m in ("tree", "orphans", "ngrams", "positional", "cooc", "corpus", "context", "words", "phonetics", "matching", "segment", "graph", "describe", "evidence", "neighbors", "exchange", "hypotheses")]
 
 
 def registry() -> tuple[dict, dict]:
