@@ -160,4 +160,12 @@ tw AS (SELECT tok.*, concat_ws('/', seq_id, word) AS unit FROM tok JOIN w USING
     "fraction_logogram_pairs": TOKENS_SQL
     + """, it AS (SELECT DISTINCT seq_id, symbol, kind FROM tok), p AS (SELECT x.symbol AS a, y.symbol AS b, count(*) AS n FROM it x JOIN it y USING (seq_id) WHERE x.kind = 'fraction' AND y.kind = 'logogram' GROUP BY ALL)
 SELECT a, b, n, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS rank FROM p QUALIFY rank <= 5""",
+    "logogram_clusters": TOKENS_SQL.replace("WITH t0", "WITH RECURSIVE t0")
+    + ", lo AS (SELECT * FROM tok WHERE kind = 'logogram')"
+    + _cooc("lo")
+    + """, dg AS (SELECT a, n FROM co WHERE a = b), nr AS (SELECT co.a, co.b FROM co JOIN dg x ON x.a = co.a JOIN dg y ON y.a = co.b WHERE co.a < co.b AND co.n >= 2 AND co.n / (x.n + y.n - co.n) >= 0.15),
+nb AS (SELECT a, list(b) AS l FROM (SELECT a, b FROM nr UNION ALL SELECT b, a FROM nr) GROUP BY a), od AS (SELECT dg.a, coalesce(l, []) AS l, row_number() OVER (ORDER BY n DESC, dg.a) AS k FROM dg LEFT JOIN nb ON nb.a = dg.a),
+gr(k, taken, grp) AS (SELECT 0::BIGINT, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) UNION ALL
+SELECT od.k, CASE WHEN list_contains(taken, a) THEN taken ELSE list_concat(taken, [a], list_filter(l, lambda x: NOT list_contains(taken, x))) END, CASE WHEN list_contains(taken, a) THEN CAST([] AS VARCHAR[]) ELSE list_concat([a], list_filter(l, lambda x: NOT list_contains(taken, x))) END FROM gr JOIN od ON od.k = gr.k + 1)
+SELECT unnest(grp) AS symbol, list_min(grp) AS cluster FROM gr""",
 }

@@ -12,12 +12,15 @@ from ..sources import writers as Wr
 from .cooc import _cooc, cooccurrence
 
 
-def _tei(s, d):
-    t = all_tokens(s, d)
+def tei_documents(t):
+    """Token sequences as documents of the TEI reader's shape."""
     g = F.transform(F.array_sort(F.collect_list(F.struct("pos", "symbol", "kind", "translit"))), lambda x: F.struct(x["pos"].alias("_n"), F.concat(F.lit("#"), x["symbol"]).alias("_ref"), x["kind"].alias("_type"), x["translit"].alias("_VALUE")))
-    docs = t.groupBy("seq_id").agg(g.alias("g")).select(F.col("seq_id").cast("string").alias("_id"), F.concat(F.lit("Text "), "seq_id").alias("title"), "g")
+    return t.groupBy("seq_id").agg(g.alias("g")).select(F.col("seq_id").cast("string").alias("_id"), F.concat(F.lit("Text "), "seq_id").alias("title"), "g")
+
+
+def _tei(s, d):
     path = table_path(s, "tei")
-    Wr.tei_xml(docs, path)
+    Wr.tei_xml(tei_documents(all_tokens(s, d)), path)
     return R.tei_signs(R.tei(s, path)).select(F.col("gorila_id").cast("long").alias("seq_id"), "sequence", "code", "kind", "transliteration")
 
 

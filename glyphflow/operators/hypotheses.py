@@ -13,7 +13,8 @@ from ..skew import bounded, one_task
 from ..tables import table
 from .cooc import cooccurrence
 from .describe import unit_draw
-from .matching import _PATTERNS, _pat, frame_links, window_levenshtein
+from .evidence import plausibility
+from .matching import _PATTERNS, _pat, frame_links, match_score, window_levenshtein
 from .words import _types
 
 
@@ -196,6 +197,47 @@ def random_completion(open_symbols: DataFrame, candidates: DataFrame, scored: Co
     return votes.groupBy("symbol").agg(F.max(F.struct("votes", "candidate")).alias("m")).select("symbol", "m.candidate", "m.votes")
 
 
+def family_matches(tokens: DataFrame, entries: DataFrame, least_size: int = 3) -> DataFrame:
+    """Per family of a word list: entries tried, windows that match exactly or by one token, distinct entries and texts that match.
+
+    ``entries(family, pattern)``: of a family with any pattern of ``least_size``
+    tokens only those are tried, else all. All families run in one plan.
+    """
+    long = F.size(F.split("pattern", "-")) >= least_size
+    kept = entries.filter("family is not null and pattern is not null").distinct().withColumn("long", long)
+    any_long = kept.groupBy("family").agg(F.max("long").alias("any_long"))
+    kept = kept.join(bounded(any_long), "family").filter(F.col("long") | ~F.col("any_long")).select("family", "pattern")
+    hits = window_levenshtein(tokens, kept.select("pattern")).join(bounded(kept), "pattern")
+    found = hits.groupBy("family").agg(F.count_if(F.col("distance") == 0).alias("exact"), F.count_if(F.col("distance") == 1).alias("one_edit"), F.count_distinct("pattern").alias("matched"), F.count_distinct("seq_id").alias("texts"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return kept.groupBy("family").agg(F.count("*").alias("entries")).join(found, "family", "left").select("family", "entries", *map(zero, ("exact", "one_edit", "matched", "texts")))
+
+
+def deep_dive(matches: DataFrame, context: DataFrame, meaning: DataFrame, top: int = 5) -> DataFrame:
+    """The ``top`` matches per pattern, enriched: plausibility of the meaning in its context, score and rank.
+
+    ``context(seq_id, words array)``, ``meaning(pattern, words array)``.
+    """
+    m = matches.join(bounded(meaning.withColumnRenamed("words", "meant")), "pattern", "left").join(context.withColumnRenamed("words", "around"), "seq_id", "left")
+    fits = plausibility(F.col("meant"), F.col("around"))
+    score = match_score(F.size(F.split("word", "-")), F.col("distance"), fits >= 0.5)
+    rows = m.select("pattern", "seq_id", "pos", "word", "distance", r6(fits).alias("plausibility"), score.alias("score"))
+    rank = F.row_number().over(W.partitionBy("pattern").orderBy(F.desc("score"), F.desc("plausibility"), "seq_id", "pos"))
+    return rows.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= top)
+
+
+_FAMILIES = [("a", "ne-ri"), ("a", "da-da-ta"), ("b", "pa-ro"), ("b", "ku-ro"), ("c", "sa-ra-me"), ("c", "mu-re-zo-ri"), ("d", "xx-yy-zz")]
+
+
+def _near_kinds(s, d):
+    return all_tokens(s, d).groupBy("seq_id").agg(F.array_sort(F.collect_set("kind")).alias("words"))
+
+
+def _dive(s, d):
+    meaning = s.createDataFrame([("ku-ro", ["numeral", "fraction"]), ("pa-ro", ["logogram"]), ("ne-ri", None)], "pattern string, words array<string>")
+    return deep_dive(window_levenshtein(syllables(s, d), _pat(s)), _near_kinds(s, d), meaning)
+
+
 def _vlinks(s, d):
     return frame_links(syllables(s, d)).filter("side = 'V'")
 
@@ -243,6 +285,8 @@ QUERIES = {
     "shadow_lexicon": lambda s, d: shadow_lexicon(window_levenshtein(syllables(s, d), _pat(s))),
     "match_sites": lambda s, d: site_spread(window_levenshtein(syllables(s, d), _pat(s)), _sites(s, d)),
     "chance_model": _chance,
+    "family_matches": lambda s, d: family_matches(syllables(s, d), s.createDataFrame(_FAMILIES, "family string, pattern string")),
+    "deep_dive": _dive,
     "term_tests": _terms,
     "before_after": lambda s, d: before_after(syllables(s, d), s.createDataFrame([("AB 73", "xa"), ("AB 14", "strem")], "symbol string, value string")),
     "completion_score": lambda s, d: completion_score(syllables(s, d), _values(s, d)),
@@ -251,7 +295,7 @@ QUERIES = {
     "random_completion": lambda s, d: random_completion(_classes(s, d).select("symbol"), s.createDataFrame([(i, v) for i, v in enumerate("aeiou")], "idx long, candidate string"), F.length(F.concat("symbol", "candidate")) + F.when(F.col("candidate") == "a", 1).otherwise(0)),
 }
 
-from .matching import _LINKS, _WIN  # noqa: E402
+from .matching import _LINKS, _VAL, _WIN  # noqa: E402
 
 SQL = {
     "link_cohesion": TOKENS_SQL
@@ -304,4 +348,12 @@ SELECT (SELECT round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) FROM fe) AS fi
     "random_completion": """WITH o AS (SELECT bennett_id AS symbol FROM sign_list WHERE sign_type = 'syllabogram'), d AS (SELECT symbol, t, ['a', 'e', 'i', 'o', 'u'][CAST(floor(CAST('0x' || substr(md5('5|' || t || '|' || symbol), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE * 5) AS INT) + 1] AS candidate FROM o, range(50) r(t)),
 b AS (SELECT t FROM (SELECT t, sum(length(symbol || candidate) + CASE WHEN candidate = 'a' THEN 1 ELSE 0 END) AS total FROM d GROUP BY t) ORDER BY total DESC, t LIMIT 5), v AS (SELECT symbol, candidate, count(*) AS votes FROM d WHERE t IN (SELECT t FROM b) GROUP BY ALL)
 SELECT symbol, candidate, votes FROM v QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY votes DESC, candidate DESC) = 1""",
+    "family_matches": _WIN.replace(_VAL, ", ".join(f"('{p}')" for _, p in _FAMILIES if p != "ne-ri"))
+    + f", fa(family, pattern) AS (VALUES {', '.join(f'{x!r}' for x in _FAMILIES if x != ('a', 'ne-ri'))})"
+    + " SELECT family, count(DISTINCT fa.pattern) AS entries, count(*) FILTER (distance = 0) AS exact, count(*) FILTER (distance = 1) AS one_edit, count(DISTINCT hit.pattern) AS matched, count(DISTINCT seq_id) AS texts FROM fa LEFT JOIN hit USING (pattern) GROUP BY family",
+    "deep_dive": _WIN
+    + """, cx AS (SELECT seq_id, list(DISTINCT kind) AS ws FROM tok GROUP BY seq_id), mn(pattern, ms) AS (VALUES ('ku-ro', ['numeral', 'fraction']), ('pa-ro', ['logogram']), ('ne-ri', NULL)),
+z AS (SELECT hit.*, coalesce(len(list_intersect(ms, ws)) / len(ws), 0.5) AS fit, len(string_split(word, '-')) AS k FROM hit JOIN cx USING (seq_id) LEFT JOIN mn USING (pattern)),
+y AS (SELECT pattern, seq_id, pos, word, distance, round(fit, 6) AS plausibility, CAST(greatest(0, least(100, least(60, 15 * k) - 20 * distance + CASE WHEN fit >= 0.5 THEN 20 ELSE 0 END)) AS INT) AS score FROM z)
+SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY score DESC, plausibility DESC, seq_id, pos) AS rank FROM y QUALIFY rank <= 5""",
 }
