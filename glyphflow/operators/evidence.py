@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import clamp
+from ..functions.stats import clamp, round_product, rounded_mean
 from ..functions.text import code_number
-from ..sequences import CLEAN_SQL, TOKENS_SQL, r6
+from ..sequences import CLEAN_SQL, TOKENS_SQL
 from ..tables import clean_code, table
 
 # Weights of the five transfer signals and of the two-hypothesis comparison.
@@ -234,7 +234,7 @@ def _signs(s, d):
     """Per symbol of the sign list: records, texts, mean confidence, share of doubtful spellings, and its value."""
     rows = table(s, d, "signs").filter("bennett_id is not null").select(clean_code(F.col("bennett_id")).alias("symbol"), "inscription_id", "confidence", "transliteration")
     doubt = (F.col("transliteration").isNull() | F.col("transliteration").contains("?")).cast("double")
-    n = rows.groupBy("symbol").agg(F.count("*").alias("n"), F.count_distinct("inscription_id").alias("texts"), F.round(F.avg("confidence"), 6).alias("conf"), F.round(F.avg(doubt), 6).alias("doubt"))
+    n = rows.groupBy("symbol").agg(F.count("*").alias("n"), F.count_distinct("inscription_id").alias("texts"), rounded_mean(F.col("confidence")).alias("conf"), round_product(F.avg(doubt), 6).alias("doubt"))
     known = table(s, d, "sign_list").select(F.col("bennett_id").alias("symbol"), F.col("sign_type").alias("kind"), F.col("transliteration").alias("value"), F.col("linear_b_character").isNotNull().alias("lb"), code_number(F.col("bennett_id")).alias("num"))
     return evidence_table(known, "symbol", [n])
 
@@ -271,7 +271,7 @@ def _conflicts(s, d):
     a = [_c("conf"), 1 - _c("doubt"), clamp(_c("texts") / 500, 0, 1), F.lit(0.5)]
     b = [F.when(_c("lb"), 0.9).otherwise(0.2), clamp(_c("n") / 1000, 0, 1), F.lit(0.4), _c("doubt") * 2]
     w, conf = resolve(a, b)
-    return df.select("symbol", w.alias("winner"), F.round(conf, 5).alias("confidence"), r6(reweigh(_c("conf") * 60, _c("lb"), _c("doubt") > 0.08)).alias("prior"))
+    return df.select("symbol", w.alias("winner"), round_product(conf, 5).alias("confidence"), round_product(reweigh(_c("conf") * 60, _c("lb"), _c("doubt") > 0.08), 6).alias("prior"))
 
 
 def _refined(s, d):
